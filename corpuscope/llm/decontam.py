@@ -259,7 +259,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     blocks = max(1, -(-size // BLOCK_BYTES))
     docs = docs.drop("n_words", "spans", "items")
     kept = docs.columns
-    out = docs.mapInArrow(lambda it: it, docs.schema) if False else docs
+    out = docs
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == k)
         phrases = Phrases([(r.k, r.t) for r in part.collect()], window)
