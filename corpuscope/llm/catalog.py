@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.llm import decontam
+from corpuscope.llm import decontam, near_dup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontam": decontam.decontam_query}
+    return {"op1_decontam": decontam.decontam_query, "op4_near_dup": near_dup.near_dup_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontam": decontam.ORACLE_SQL}
+    return {"op1_decontam": decontam.ORACLE_SQL, "op4_near_dup": near_dup.ORACLE_SQL}
