@@ -23,7 +23,7 @@ from corpuscope.llm.token_files import crc, encoder, tokenizer_path
 CAPACITY = 4096
 END = 1
 SHARD_PIECES = 1 << 15
-GROUPS = 96
+GROUPS = 48
 SMALL = 8
 
 
