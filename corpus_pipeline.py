@@ -1,13 +1,72 @@
-"""Stages over documents."""
+"""From raw documents to packed training sequences: five operators of corpuscope.llm, one after the other."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscope.llm import decontam, langid, near_dup, packing, toxicity
+
+#: A prediction below this is as good as none among the learned languages.
+LEAST_LANG_SCORE = 0.3
+SIMILAR = (85, 100)
+
+
+def _kept(docs: DataFrame, names: list[str]) -> DataFrame:
+    return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of score 0.5 or more; the grammar is learned from the labelled ones among docs."""
+    grammar = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _kept(toxicity.score(docs, grammar).where("score < 0.5"), docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no letter or fit no learned language; learned from docs themselves."""
+    model = langid.learn(docs)
+    found = langid.identify(docs, model)
+    return _kept(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANG_SCORE)), docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of smallest doc_id. Rows of null doc_id stay."""
+    gone = near_dup.near_duplicates(docs, num=SIMILAR[0], den=SIMILAR[1]).where("not kept").select("doc_id")
+    return _kept(docs.join(gone, "doc_id", "left_anti"), docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of which benchmark passages make a twentieth or more; shorter passages are cut out of the rest."""
+    found = decontam.find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = decontam.n_hit()
+    clean = decontam.remove_spans(found.where((hits == 0) | (20 * hits < F.col("n_words"))))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return _kept(clean, docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece with its place in a training sequence."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Scores, kernels and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written below the shared folder and read by the next."""
+    from corpuscope.llm.common import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

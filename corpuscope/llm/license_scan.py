@@ -127,8 +127,8 @@ class Templates:
         present[ids] = 1
         for k in np.flatnonzero(self.member @ present >= least * self.distinct):
             out += self._windows(ids, int(k), least)
-        # of matches that overlap, the longest counts
-        out.sort(key=lambda x: (-(x["end"] - x["start"]), -x["coverage"], x["start"], x["template"]))
+        # of matches that overlap, the one of most matched words counts
+        out.sort(key=lambda x: (-round(x["coverage"] * len(self.words[x["template"]])), -x["coverage"], x["start"], x["template"]))
         taken: list[dict] = []
         for x in out:
             if all(x["end"] <= y["start"] or x["start"] >= y["end"] for y in taken):
@@ -160,7 +160,7 @@ _MATCHES = "n_words bigint, licenses array<struct<license:string,template:int,co
 def scan_licenses(docs: DataFrame, text: str = "text", least: float = COVERAGE) -> DataFrame:
     """docs with n_words and licenses (matches by place; none for null, empty and wordless texts).
 
-    Whole texts are read. Of overlapping matches the longest stays, ties by coverage, place and order of templates.
+    Whole texts are read. Of overlapping matches the one of most matched words stays, ties by coverage, place and order of templates.
     Repeated rows get equal results; columns named as the new ones are replaced, all others come through.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
