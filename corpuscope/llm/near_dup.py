@@ -5,7 +5,7 @@ signature value, and an empty bin borrows from a bin that a universal hash of (b
 densification). ROWS bins make a band; equal bands meet in a bucket. Documents of equal sets are one class. A bucket links
 its members to its smallest one (a star: n - 1 candidates for n members), candidates are confirmed on the full sets,
 and components are formed. Only buckets that still hold several components are then compared member by member, in blocks
-of signatures, so that no link is lost where the star's centre is not itself similar.
+and without a pair leaving its task, so that no link is lost where the star's centre is not itself similar.
 """
 
 from __future__ import annotations
@@ -155,56 +155,99 @@ def _agreement(num: int, den: int) -> int:
     return max(0, int(BINS * (t - SLACK * (t * (1 - t) / BINS) ** 0.5)))
 
 
-def _compare_blocks(least: int):
-    """Rows of (bucket, i, j, side, id, root, sig) sorted by them: pairs of different components that may be similar."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+    """Tables of the groups (bucket, i, j) of rows sorted by them; a group may lie across batches."""
+    held: list[pa.Table] = []
+    last = None
+
+    def split(t: pa.Table) -> list[pa.Table]:
+        key = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        edge = [0, *cut.tolist(), t.num_rows]
+        return [t.slice(x, y - x) for x, y in zip(edge[:-1], edge[1:], strict=True) if y - x > 1]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        key = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        now = tuple(int(k[-1]) for k in key)
+        start = int(np.argmax(np.all([k == k[-1] for k in key], axis=0)))
+        if start or now != last:
+            held.append(t.slice(0, start))
+            whole = pa.concat_tables(held).combine_chunks()
+            if whole.num_rows:
+                yield split(whole)
+            held = []
+        held.append(t.slice(start))
+        last = now
+    if held:
+        yield split(pa.concat_tables(held).combine_chunks())
+
+
+def _candidates(g: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a group, a block with itself or with another, whose signatures agree and that meet here first."""
+    side, ids, root = (g.column(c).to_numpy() for c in ("side", "id", "root"))
+    if (root == root[0]).all():
+        return
+    own = g.column("i")[0] == g.column("j")[0]
+    x, y = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+    keys = np.array(g.column("keys").to_pylist(), dtype=np.int64)
+    bucket = g.column("bucket")[0].as_py()
+    for r in range(0, len(x), 32):
+        u = x[r : r + 32]
+        differ = root[u][:, None] != root[y][None, :]
+        if own:
+            differ &= ids[u][:, None] < ids[y][None, :]
+        p, q = np.nonzero(differ)
+        for k in range(0, len(p), 8192):
+            m, n = u[p[k : k + 8192]], y[q[k : k + 8192]]
+            ok = (sig[m] == sig[n]).sum(axis=1) >= least
+            m, n = m[ok], n[ok]
+            first = (keys[m] == keys[n]).argmax(axis=1)
+            ok = keys[m, first] == bucket
+            yield m[ok], n[ok]
+
+
+def _with_candidates(least: int):
+    """Rows of (bucket, i, j, ...) that have a candidate in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _whole_groups(batches):
+            for g in groups:
+                on = np.zeros(g.num_rows, dtype=bool)
+                for m, n in _candidates(g, least):
+                    on[m] = on[n] = True
+                if on.any():
+                    yield from g.filter(pa.array(on)).to_batches()
+
+    return run
 
-    def pairs(own: bool, side: np.ndarray, ids: np.ndarray, root: np.ndarray, sig: np.ndarray) -> np.ndarray:
-        """own: one block with itself; else the rows of side 0 with those of side 1."""
-        x, y = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found = []
-        for r in range(0, len(x), 64):
-            u = x[r : r + 64]
-            same = (sig[u][:, None, :] == sig[y][None, :, :]).sum(axis=2) >= least
-            p, q = np.nonzero(same & (root[u][:, None] != root[y][None, :]) & (ids[u][:, None] < ids[y][None, :] if own else True))
-            found.append(np.stack((ids[u][p], ids[y][q]), axis=1))
-        return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+
+def _links_within(least: int, num: int, den: int):
+    """Confirmed links of a group that join its components: at most one for each member but one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def emit(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            bucket, i, j = (t.column(c).to_numpy() for c in ("bucket", "i", "j"))
-            side, ids, root = (t.column(c).to_numpy() for c in ("side", "id", "root"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-            cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edge = np.concatenate(([0], cut, [len(ids)]))
-            got = [pairs(i[s] == j[s], side[s:e], ids[s:e], root[s:e], sig[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True) if e - s > 1]
-            p = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(p.min(axis=1) if len(p) else p[:, 0]), pa.array(p.max(axis=1) if len(p) else p[:, 1])], schema=schema)
-
-        last = None
-        for b in batches:  # a batch's last group may go on in the next
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            key = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
-            tail = np.ones(b.num_rows, dtype=bool)
-            for k in key:
-                tail &= k == k[-1]
-            start = int(np.argmax(tail))
-            now = tuple(int(k[-1]) for k in key)
-            if start or now != last:
-                held.append(t.slice(0, start))
-                whole = pa.concat_tables(held)
-                if whole.num_rows:
-                    yield emit(whole)
-                held = []
-            held.append(t.slice(start))
-            last = now
-        if held and (whole := pa.concat_tables(held)).num_rows:
-            yield emit(whole)
+        for groups in _whole_groups(batches):
+            out: list[tuple[int, int]] = []
+            for g in groups:
+                ids, root = g.column("id").to_numpy(), g.column("root").to_pylist()
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in g.column("s").to_pylist()]
+                parent = {r: r for r in root}
+
+                def find(r: int, parent: dict = parent) -> int:
+                    while parent[r] != r:
+                        parent[r] = r = parent[parent[r]]
+                    return r
+
+                for m, n in _candidates(g, least):
+                    for a, b in zip(m.tolist(), n.tolist(), strict=True):
+                        x, y = find(root[a]), find(root[b])
+                        if x != y and jaccard_at_least(sets[a], sets[b], num, den):
+                            parent[max(x, y)] = min(x, y)
+                            out.append((int(ids[a]), int(ids[b])))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -254,17 +297,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
 
         return two.mapInArrow(run, "a bigint, b bigint")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs that the full sets confirm; sets are made again for the documents of pairs only."""
-        pairs = written(pairs, name)
-        nodes = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), name + "-nodes")
+    def full_sets(nodes: DataFrame, name: str) -> DataFrame:
+        """Sets of the documents in nodes (id), made again from their texts."""
+        nodes = written(nodes.distinct(), name + "-nodes")
         ddl = StructType.fromDDL("id bigint, s binary")
         texts = base.where("id is not null and text is not null").join(nodes, "id", "left_semi")
-        sets = written(texts.mapInArrow(_sets("text", to_arrow_schema(ddl)), ddl).dropDuplicates(["id"]), name + "-sets")
-        two = pairs.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").select("a", "b", "sa", "sb")
-        return written(two.mapInArrow(_confirm(num, den), "a bigint, b bigint"), name + "-links")
+        return written(texts.mapInArrow(_sets("text", to_arrow_schema(ddl)), ddl).dropDuplicates(["id"]), name + "-sets")
 
-    links = confirmed(close(stars), "stars")
+    pairs = written(close(stars), "stars")
+    sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "stars")
+    two = pairs.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").select("a", "b", "sa", "sb")
+    links = written(two.mapInArrow(_confirm(num, den), "a bigint, b bigint"), "stars-links")
     root = components(links, "cc1")
 
     # what the stars leave open: buckets that hold more than one component
@@ -275,11 +318,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     parts = labelled.join(opened, "bucket").withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     parts = parts.select("bucket", "id", "root", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.when((F.col("k") <= F.col("o")), 0).otherwise(1).alias("side"))
-    parts = parts.join(sigs, "id").select("bucket", "i", "j", "side", "id", "root", "sig")
+    parts = parts.join(reps, "id").select("bucket", "i", "j", "side", "id", "root", "keys", "sig")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "id")
-    rest = parts.mapInArrow(_compare_blocks(least), "a bigint, b bigint").distinct()
-    more = confirmed(rest, "rest")
+    held = "bucket bigint, i int, j int, side int, id bigint, root bigint, keys array<bigint>, sig binary"
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "id")
+
+    rest = written(dealt(parts).mapInArrow(_with_candidates(least), held), "rest")
+    sets = full_sets(rest.select("id"), "rest")
+    more = written(dealt(rest.join(sets, "id")).mapInArrow(_links_within(least, num, den), "a bigint, b bigint"), "rest-links")
     if more.limit(1).count():
         root = components(links.unionByName(more), "cc2")
 
