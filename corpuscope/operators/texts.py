@@ -1 +1,65 @@
-QUERIES = {}
+"""Text functions as relations: tokens, words, stems, sentences, conditions, characters."""
+
+from __future__ import annotations
+
+from corpuscope.functions.porter import STEPS
+from corpuscope.operators.zipf import CONDITIONS, condition_sql
+from corpuscope.plans.dialect import Dialect
+from corpuscope.plans.relations import VECTOR_WORD, WORD, WORD_HYPHEN
+
+
+def _word_counts(d: Dialect) -> str:
+    letters, merged = d.all("text", WORD), d.all("text", WORD_HYPHEN)
+    return f"SELECT doc_id, CAST({d.size(letters)} AS BIGINT) AS words, CAST({d.size(merged)} AS BIGINT) AS words_hyphen_merged FROM documents"
+
+
+def _trace(d: Dialect) -> str:
+    """Every step that changed a word, with the word before and after it."""
+    parts, before = [], "word"
+    for s in STEPS:
+        parts.append(f"SELECT word, '{s}' AS step, {before} AS before, s{s} AS after FROM stem_dim WHERE {before} <> s{s}")
+        before = f"s{s}"
+    return " UNION ALL ".join(parts)
+
+
+def _naive(d: Dialect) -> str:
+    listed = f"SELECT doc_id, {d.split('text', '[.!?]+')} AS w FROM documents"
+    parts = d.posexplode("doc_id", f"({listed}) AS l", "w", "part", "s")
+    return f"SELECT doc_id, count(*) AS sentences_naive FROM ({parts}) AS x WHERE {d.rx('s', '[^ ' + chr(10) + ']')} GROUP BY doc_id"
+
+
+def _vector_words(d: Dialect) -> str:
+    listed = f"SELECT doc_id, {d.all('text', VECTOR_WORD)} AS w FROM documents"
+    parts = d.posexplode("doc_id", f"({listed}) AS l", "w", "pos", "raw")
+    return f"SELECT x.doc_id, lower(x.raw) AS word, count(*) AS tf FROM ({parts}) AS x LEFT JOIN stop p ON p.word = lower(x.raw) WHERE p.word IS NULL AND length(x.raw) > 1 GROUP BY x.doc_id, lower(x.raw)"
+
+
+def _conditions(d: Dialect) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS condition, doc_id, count(*) AS n, count(DISTINCT term) AS n_distinct FROM ({condition_sql(d, c)}) AS t GROUP BY doc_id" for c in CONDITIONS)
+
+
+def _chars(d: Dialect) -> str:
+    count = lambda p: f"CAST(length(text) - length({d.sub('text', p, '')}) AS BIGINT)"
+    space = "[" + chr(9) + chr(10) + chr(11) + chr(12) + chr(13) + " ]"
+    return f"SELECT doc_id, CAST(length(text) AS BIGINT) AS characters, CAST(length(text) AS BIGINT) - {count(space)} AS characters_no_spaces, {count(chr(92) + 'p{L}')} AS letters, {count(chr(92) + 'p{Nd}')} AS digits, {count('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')} + {count(space)} AS characters_no_punct FROM documents"
+
+
+def _bigrams(d: Dialect) -> str:
+    """Character pairs of the vocabulary between sentinels, with the words that have them."""
+    chars = f"SELECT DISTINCT v.word, i.i, substr(concat('$', v.word, '$'), CAST(i.i AS INT), 2) AS gram FROM (SELECT DISTINCT surface AS word FROM tok) AS v JOIN ({d.series('i', '1', '64')}) AS i ON i.i <= length(v.word) + 1"
+    return f"SELECT gram, count(DISTINCT word) AS words FROM ({chars}) AS g GROUP BY gram"
+
+
+QUERIES = {
+    "t1_tokens": lambda d: "SELECT doc_id, surface, count(*) AS tf, min(pos) AS first_pos FROM tok GROUP BY doc_id, surface",
+    "t2_word_counts": _word_counts,
+    "t3_terms_nostop": lambda d: "SELECT t.surface, count(*) AS cf FROM tok t LEFT JOIN stop p ON p.word = t.surface WHERE p.word IS NULL GROUP BY t.surface",
+    "t4_porter_vocab": lambda d: "SELECT word, stem FROM stem_dim",
+    "t5_stem_trace": _trace,
+    "t6_stop_words": lambda d: "SELECT s.word, count(t.surface) AS cf FROM stop s LEFT JOIN tok t ON t.surface = s.word GROUP BY s.word",
+    "t8_naive_sentences": _naive,
+    "t10_words": _vector_words,
+    "t11_conditions": _conditions,
+    "t12_char_classes": _chars,
+    "t17_bigrams": _bigrams,
+}
