@@ -1 +1,148 @@
-QUERIES = {}
+"""Embedding retrieval: nearest words, analogies, document vectors, ranking, fusion, coverage, co-occurrence.
+
+The table embeddings stands for the word vectors: vector number r belongs to the word of rank r in the vocabulary that
+vectors are trained on (by count, then word).
+"""
+
+from __future__ import annotations
+
+from corpuscope.operators import ranking
+from corpuscope.plans.dialect import Dialect
+from corpuscope.plans.relations import VECTOR_WORD
+
+BUCKETS = "CASE WHEN {c} < 5 THEN '1-4' WHEN {c} < 10 THEN '5-9' WHEN {c} < 20 THEN '10-19' WHEN {c} < 50 THEN '20-49' WHEN {c} < 200 THEN '50-199' ELSE '200+' END"
+
+
+def relations(d: Dialect) -> list[tuple[str, str]]:
+    listed = lambda t, k: f"SELECT {k}, {d.all('text', VECTOR_WORD)} AS w FROM {t}"
+    words = lambda name, t, k: [(f"{name}_listed", listed(t, k)), (f"{name}_raw", d.posexplode(k, f"{name}_listed", "w", "pos", "raw")), (f"{name}_tf", f"SELECT x.{k}, lower(x.raw) AS word, count(*) AS tf FROM {name}_raw x LEFT JOIN stop p ON p.word = lower(x.raw) WHERE p.word IS NULL AND length(x.raw) > 1 GROUP BY x.{k}, lower(x.raw)")]
+    dims = d.posexplode("word", "model", "vec", "dim", "x")
+    return [
+        *ranking.relations(d),
+        *words("dw", "documents", "doc_id"),
+        *words("qw", "benchmark", "item_id"),
+        ("w_stats", "SELECT word, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dw_tf GROUP BY word"),
+        ("w_rank", "SELECT word, df, cf, row_number() OVER (ORDER BY cf DESC, word) AS rank FROM w_stats"),
+        ("model", f"SELECT r.word, r.cf, r.df, r.rank, {d.doubles('e.embedding')} AS vec, e.label FROM w_rank r JOIN embeddings e ON e.vec_id = r.rank - 1"),
+        ("model_dims", dims),
+        ("doc_sums", _sums("dw_tf", "doc_id", weighted=True)),
+        ("query_sums", _sums("qw_tf", "item_id", weighted=True)),
+        ("doc_unit", "SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM doc_sums"),
+        ("query_unit", "SELECT item_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM query_sums"),
+        ("embed_scores", "SELECT q.item_id, v.doc_id, sum(q.x * v.x) AS score FROM query_unit q JOIN doc_unit v ON v.dim = q.dim GROUP BY q.item_id, v.doc_id"),
+        ("term_scores", f"SELECT q.item_id, w.doc_id, sum(q.w * w.w) AS score FROM ({ranking.query_weights_sql('ltc')}) AS q JOIN ({ranking.weights_sql('ltc')}) AS w ON w.term = q.term GROUP BY q.item_id, w.doc_id"),
+    ]
+
+
+def _sums(tf: str, key: str, weighted: bool) -> str:
+    """Weighted sum of a bag's word vectors by dimension; words that have no vector are left out, weights have 4 places."""
+    w = "round((1e0 + ln(t.tf)) * ln(CAST(n.n AS DOUBLE) / s.df), 4)" if weighted else "CAST(t.tf AS DOUBLE)"
+    return f"SELECT {key}, dim, x FROM (SELECT t.{key}, m.dim, sum({w} * m.x) AS x, max(abs({w})) AS heaviest FROM {tf} t JOIN model_dims m ON m.word = t.word JOIN w_stats s ON s.word = t.word JOIN n_docs n ON 1 = 1 GROUP BY t.{key}, m.dim) AS u WHERE heaviest > 0"
+
+
+def _ranked(scores: str, k: int = 10) -> str:
+    return f"SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({scores}) AS s) AS z WHERE rank <= {k}"
+
+
+def _hybrid(alpha: str) -> str:
+    score = f"{alpha} * coalesce(a.score, 0e0) + (1 - {alpha}) * coalesce(b.score, 0e0)"
+    return f"SELECT * FROM (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, {score} AS score FROM term_scores a FULL OUTER JOIN embed_scores b ON b.item_id = a.item_id AND b.doc_id = a.doc_id) AS h WHERE score > 0"
+
+
+def _cos(d: Dialect, a: str, b: str) -> str:
+    return f"{d.dot(a, b)} / sqrt({d.dot(a, a)} * {d.dot(b, b)})"
+
+
+def _nearest(d: Dialect, words: int = 100, k: int = 10) -> str:
+    """Nearest words of the most frequent ones, which are the query set."""
+    pairs = f"SELECT a.word, b.word AS near, {_cos(d, 'a.vec', 'b.vec')} AS sim FROM (SELECT * FROM model WHERE rank <= {words}) AS a JOIN model b ON b.word <> a.word"
+    return f"SELECT word, near, round(sim, 6) AS sim, rank FROM (SELECT word, near, sim, row_number() OVER (PARTITION BY word ORDER BY round(sim, 9) DESC, near) AS rank FROM ({pairs}) AS p) AS z WHERE rank <= {k}"
+
+
+def _analogy(d: Dialect) -> str:
+    """Words of rank 1, 2, 3 as a, b, c: what is to c as b is to a, the three left out."""
+    target = "SELECT m.dim, sum(CASE w.rank WHEN 1 THEN -m.x ELSE m.x END) AS x FROM model_dims m JOIN model w ON w.word = m.word WHERE w.rank <= 3 GROUP BY m.dim"
+    scored = f"SELECT m.word, sum(m.x * t.x) / sqrt(sum(m.x * m.x) * sum(t.x * t.x)) AS sim FROM model_dims m JOIN ({target}) AS t ON t.dim = m.dim JOIN model w ON w.word = m.word WHERE w.rank > 3 GROUP BY m.word"
+    return f"SELECT word, round(sim, 6) AS sim, rank FROM (SELECT word, sim, row_number() OVER (ORDER BY round(sim, 9) DESC, word) AS rank FROM ({scored}) AS s) AS z WHERE rank <= 10"
+
+
+def _explain(d: Dialect) -> str:
+    """For each word of a text and each of its three best documents, the three closest words there."""
+    best = _ranked("SELECT * FROM embed_scores", 3)
+    pairs = f"SELECT q.item_id, r.doc_id, q.word, t.word AS near, {_cos(d, 'a.vec', 'b.vec')} AS sim FROM qw_tf q JOIN ({best}) AS r ON r.item_id = q.item_id JOIN model a ON a.word = q.word JOIN dw_tf t ON t.doc_id = r.doc_id JOIN model b ON b.word = t.word"
+    return f"SELECT item_id, doc_id, word, near, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id, word ORDER BY round(sim, 9) DESC, near) AS rank FROM ({pairs}) AS p) AS z WHERE rank <= 3"
+
+
+def _coverage(d: Dialect) -> str:
+    per = "SELECT t.doc_id, CAST(sum(t.tf) AS BIGINT) AS n, CAST(sum(CASE WHEN m.word IS NOT NULL THEN t.tf ELSE 0 END) AS BIGINT) AS covered FROM dw_tf t LEFT JOIN (SELECT word FROM model) AS m ON m.word = t.word GROUP BY t.doc_id"
+    return f"SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(covered) AS BIGINT) AS covered, round({d.median('covered / CAST(n AS DOUBLE)')}, 6) AS median_share, count(CASE WHEN covered = 0 THEN 1 END) AS without FROM ({per}) AS p"
+
+
+def _cooccurrence(d: Dialect) -> str:
+    """Documents in common of the thirty most frequent words, pair by pair: Jaccard and PMI."""
+    top = "SELECT t.doc_id, t.word, r.df, r.rank FROM dw_tf t JOIN w_rank r ON r.word = t.word WHERE r.rank <= 30"
+    return f"SELECT a.word AS a, b.word AS b, count(*) AS both, round(count(*) / CAST(max(a.df) + max(b.df) - count(*) AS DOUBLE), 6) AS jaccard, round(ln(count(*) * CAST(max(n.n) AS DOUBLE) / (CAST(max(a.df) AS DOUBLE) * max(b.df))), 6) AS pmi FROM ({top}) AS a JOIN ({top}) AS b ON b.doc_id = a.doc_id AND a.rank < b.rank JOIN n_docs n ON 1 = 1 GROUP BY a.word, b.word"
+
+
+def _profile(d: Dialect) -> str:
+    """Topic shares of the documents of a word, against the topic's share of all."""
+    base = "SELECT lang AS topic, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM documents GROUP BY lang"
+    return f"SELECT t.word, x.lang AS topic, count(*) AS n, round(count(*) / CAST(max(r.df) AS DOUBLE), 6) AS p, round(count(*) / CAST(max(r.df) AS DOUBLE) / max(b.share), 6) AS lift FROM dw_tf t JOIN w_rank r ON r.word = t.word JOIN documents x ON x.doc_id = t.doc_id JOIN ({base}) AS b ON b.topic = x.lang WHERE r.rank <= 200 GROUP BY t.word, x.lang"
+
+
+def _pairs(d: Dialect, window: int = 2) -> str:
+    """Training pairs (centre, context) within a window, counted over the vocabulary of the model."""
+    kept = "SELECT x.doc_id, lower(x.raw) AS word, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.pos) AS pos FROM dw_raw x LEFT JOIN stop p ON p.word = lower(x.raw) WHERE p.word IS NULL AND length(x.raw) > 1"
+    shifts = " UNION ALL ".join(f"SELECT {s} AS s" for s in range(-window, window + 1) if s)
+    return f"SELECT a.word AS centre, b.word AS context, count(*) AS n FROM (SELECT k.doc_id, k.word, k.pos, k.pos + s.s AS other FROM ({kept}) AS k JOIN ({shifts}) AS s ON 1 = 1) AS a JOIN ({kept}) AS b ON b.doc_id = a.doc_id AND b.pos = a.other JOIN (SELECT word FROM model) AS m ON m.word = a.word GROUP BY a.word, b.word HAVING count(*) > 1"
+
+
+def _knn(d: Dialect) -> str:
+    """Share of the five nearest by cosine that stay nearest by distance in the first two dimensions."""
+    pairs = f"SELECT a.word, b.word AS near, {_cos(d, 'a.vec', 'b.vec')} AS sim, power(a.x - b.x, 2e0) + power(a.y - b.y, 2e0) AS dist FROM flat a JOIN flat b ON b.word <> a.word"
+    flat = "SELECT m.word, m.vec, m.vec[{0}] AS x, m.vec[{1}] AS y FROM model m WHERE m.rank <= 200".format(*((0, 1) if d.name == "spark" else (1, 2)))
+    ranked = f"SELECT word, near, row_number() OVER (PARTITION BY word ORDER BY round(sim, 9) DESC, near) AS r1, row_number() OVER (PARTITION BY word ORDER BY round(dist, 9), near) AS r2 FROM (WITH flat AS ({flat}) {pairs}) AS p"
+    return f"SELECT word, count(CASE WHEN r1 <= 5 AND r2 <= 5 THEN 1 END) / 5e0 AS kept FROM ({ranked}) AS z GROUP BY word"
+
+
+def _buckets(d: Dialect) -> str:
+    near = _nearest(d, 300, 5)
+    return f"SELECT {BUCKETS.format(c='m.cf')} AS bucket, count(DISTINCT n.word) AS words, round(avg(n.sim), 6) AS sim, {d.median('o.cf')} AS median_near FROM ({near}) AS n JOIN (SELECT word, cf FROM model) AS m ON m.word = n.word JOIN (SELECT word, cf FROM model) AS o ON o.word = n.near GROUP BY {BUCKETS.format(c='m.cf')}"
+
+
+def _overlap(d: Dialect) -> str:
+    """Jaccard of the ten nearest words under the whole vectors and under their first half."""
+    half = lambda v: f"slice({v}, 1, 32)" if d.name == "spark" else f"{v}[1:32]"
+    pairs = f"SELECT a.word, b.word AS near, {_cos(d, 'a.vec', 'b.vec')} AS s1, {_cos(d, half('a.vec'), half('b.vec'))} AS s2 FROM (SELECT * FROM model WHERE rank <= 100) AS a JOIN model b ON b.word <> a.word"
+    ranked = f"SELECT word, near, row_number() OVER (PARTITION BY word ORDER BY round(s1, 9) DESC, near) AS r1, row_number() OVER (PARTITION BY word ORDER BY round(s2, 9) DESC, near) AS r2 FROM ({pairs}) AS p"
+    return f"SELECT word, round(count(CASE WHEN r1 <= 10 AND r2 <= 10 THEN 1 END) / CAST(count(CASE WHEN r1 <= 10 OR r2 <= 10 THEN 1 END) AS DOUBLE), 6) AS jaccard FROM ({ranked}) AS z GROUP BY word"
+
+
+def _alpha(d: Dialect) -> str:
+    """Mean grade of the first ten for eleven mixtures."""
+    alphas = " UNION ALL ".join(f"SELECT {i / 10}e0 AS alpha" for i in range(11))
+    mixed = f"SELECT m.alpha, s.item_id, s.doc_id, m.alpha * s.a + (1 - m.alpha) * s.b AS score FROM (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.score, 0e0) AS a, coalesce(b.score, 0e0) AS b FROM term_scores a FULL OUTER JOIN embed_scores b ON b.item_id = a.item_id AND b.doc_id = a.doc_id) AS s JOIN ({alphas}) AS m ON 1 = 1"
+    top = f"SELECT alpha, item_id, doc_id, row_number() OVER (PARTITION BY alpha, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({mixed}) AS x WHERE score > 0"
+    return f"SELECT t.alpha, count(*) AS ranked, count(l.doc_id) AS judged, round(avg(CASE WHEN l.quality = 1 THEN 1e0 ELSE 0e0 END), 6) AS good FROM ({top}) AS t LEFT JOIN labels l ON l.doc_id = t.doc_id WHERE t.rank <= 10 GROUP BY t.alpha"
+
+
+QUERIES = {
+    "r16_nearest": _nearest,
+    "r16_analogy": _analogy,
+    "r17_doc_vectors_avg": lambda d: f"SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 5) AS x FROM ({_sums('dw_tf', 'doc_id', weighted=False)}) AS v",
+    "r17_doc_vectors_tfidf": lambda d: "SELECT doc_id, dim, round(x, 5) AS x FROM doc_unit",
+    "r18_rank": lambda d: _ranked("SELECT * FROM embed_scores"),
+    "r19_explain": _explain,
+    "r20_hybrid": lambda d: _ranked(_hybrid("0.2e0")),
+    "e11_alpha_sweep": _alpha,
+    "a17_cooccurrence": _cooccurrence,
+    "a18_topic_profile": _profile,
+    "a20_vocab_thresholds": lambda d: "SELECT t.t AS least, count(w.word) AS words, CAST(coalesce(sum(w.cf), 0) AS BIGINT) AS tokens FROM (" + " UNION ALL ".join(f"SELECT {t} AS t" for t in (1, 2, 3, 5, 10, 20, 50)) + ") AS t LEFT JOIN w_stats w ON w.cf >= t.t GROUP BY t.t",
+    "a21_training_pairs": _pairs,
+    "a22_coverage": _coverage,
+    "a23_model_stem_groups": lambda d: f"SELECT s.stem, count(*) AS n, {d.join_sorted('m.word', 'm.word')} AS words FROM model m JOIN stem_dim s ON s.word = m.word GROUP BY s.stem HAVING count(*) > 1",
+    "t21_buckets": lambda d: f"SELECT {BUCKETS.format(c='cf')} AS bucket, count(*) AS words FROM w_stats GROUP BY {BUCKETS.format(c='cf')}",
+    "r25_knn_preservation": _knn,
+    "r26_bucket_eval": _buckets,
+    "r27_overlap": _overlap,
+}

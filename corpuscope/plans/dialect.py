@@ -104,6 +104,11 @@ class Duck(Dialect):
     def doubles(self, vector: str) -> str:
         return f"CAST({vector} AS DOUBLE[])"
 
+    def lev(self, a: str, b: str) -> str:
+        """By characters: this engine counts bytes, so accented letters are written as capitals first."""
+        low, up = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ()[]{}<"
+        return f"levenshtein(translate({a}, '{low}', '{up}'), translate({b}, '{low}', '{up}'))"
+
     def series(self, name: str, low: str, high: str) -> str:
         return f"SELECT unnest(range(CAST({low} AS BIGINT), CAST({high} AS BIGINT) + 1)) AS {name}"
 
