@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.operators import embedding, evaluation, ranking, statistics, texts, zipf
+from corpuscope.operators import embedding, evaluation, frames, ranking, statistics, texts, zipf
 from corpuscope.plans.dialect import DUCK, SPARK
 from corpuscope.plans.relations import duck, spark_sql
 
@@ -23,9 +23,7 @@ def _sql() -> dict[str, tuple[Callable, Callable]]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {n: (lambda spark, sf_dir, q=q, r=r: spark_sql(spark, sf_dir, q(SPARK), r(SPARK))) for n, (q, r) in _sql().items()}
-    for module in (texts, statistics, ranking, evaluation, zipf, embedding):
-        out |= getattr(module, "FRAMES", {})
-    return out
+    return out | frames.FRAMES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,8 @@ END = 2
 LEVELS = 16
 SHARD_TOKENS = 1 << 20
 MAGIC = b"TOKS"
-CACHE = 500_000
+#: Chunks kept as they stand, and runs of letters kept in lower case; the former are made of the latter.
+CHUNKS, CORES = 300_000, 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,20 +53,43 @@ class Encoder(dict):
         if self.tokenizer.get_vocab_size() > 1 << LEVELS:
             raise ValueError("ids of more than 16 bits")
         self[""] = b""
+        self.cores: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(1 << LEVELS, dtype=bool)  # ids that end a run of letters
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def plain(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        if (out := self.cores.get(chunk)) is None:
+            if len(self.cores) > CORES:
+                self.cores.clear()
+            out = self.cores[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return out
+
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, str]:
+        """A run of Latin letters in lower case and the marks behind it; two empty strings for any other chunk."""
+        core = chunk.rstrip(".,%&$#*;:!?|")
+        return (core.lower(), chunk[len(core) :]) if core and core.isalpha() and max(core) <= "\xff" else ("", "")
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode the new runs of letters among chunks as one text; an id that ends a run shows where each one stops."""
+        new = [w for w in {self.parts(c)[0] for c in set(chunks) if c not in self} if w and w not in self.cores]
+        if len(new) < 2:
+            return
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u2")
+        ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+        if len(ends) == len(new) and ends[-1] == 2 * len(ids):
+            if len(self.cores) > CORES:
+                self.cores.clear()
+            raw = ids.tobytes()
+            self.cores.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE:
+        if len(self) > CHUNKS:
             self.clear()
             self[""] = b""
-        core = chunk.rstrip(".,%&$#*;:!?|")
-        low = core.lower()
-        if core and (len(core) < len(chunk) or low != core) and core.isalpha() and max(core) <= "\xff" and min(core) >= "A":
-            out = self[low] + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
-        else:
-            out = self.plain(chunk)
+        low, tail = self.parts(chunk)
+        out = self.plain(low) + (self.plain(tail) if tail else b"") if low else self.plain(chunk)
         self[chunk] = out
         return out
 
@@ -73,7 +97,9 @@ class Encoder(dict):
         """Ids of a text; of null: none."""
         if not text:
             return np.zeros(0, dtype="<u2")
-        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), dtype="<u2")
+        chunks = text.replace("\n", " ").split(" ")
+        self.learn(chunks)
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), dtype="<u2")
 
 
 _encoders: dict[str, Encoder] = {}

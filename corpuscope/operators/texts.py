@@ -50,7 +50,15 @@ def _bigrams(d: Dialect) -> str:
     return f"SELECT gram, count(DISTINCT word) AS words FROM ({chars}) AS g GROUP BY gram"
 
 
+def _markup(d: Dialect) -> str:
+    """Title, paragraphs and links of pages."""
+    title = f"{d.all('html', '<title>[^<]*</title>')}"
+    first = f"element_at({title}, 1)" if d.name == "spark" else f"{title}[1]"
+    return f"SELECT page_id, replace(replace({first}, '<title>', ''), '</title>', '') AS title, CAST({d.size(d.all('html', '<p>'))} AS BIGINT) AS paragraphs, CAST({d.size(d.all('html', '<a href='))} AS BIGINT) AS links FROM pages"
+
+
 QUERIES = {
+    "s1_parse_markup": _markup,
     "t1_tokens": lambda d: "SELECT doc_id, surface, count(*) AS tf, min(pos) AS first_pos FROM tok GROUP BY doc_id, surface",
     "t2_word_counts": _word_counts,
     "t3_terms_nostop": lambda d: "SELECT t.surface, count(*) AS cf FROM tok t LEFT JOIN stop p ON p.word = t.surface WHERE p.word IS NULL GROUP BY t.surface",
