@@ -3,7 +3,7 @@
 Equal vectors are one class. Classes go to the shards of their OVERLAP nearest centres, large clusters in several
 shards by hash. In each shard a graph is built: every vector's nearest candidates, pruned robustly (a neighbour goes if one
 kept before is ALPHA times closer to it), with edges back. A vector's adjacency lists from its shards are united. Every
-vector is then searched in its clusters' shards: greedy best-first from the medoid until the beam settles, and as long
+vector is then searched in its clusters' shards: greedy best-first from medoids until the beam settles, and as long
 as vectors in range turn up, the range expands through their neighbours. Links are confirmed in double precision and
 counted in the one shard that is first for both; a sample against all vectors audits the recall.
 """
@@ -27,6 +27,8 @@ DEGREE = 24
 CANDIDATES = 64
 ALPHA = 1.2
 BEAM = 24
+#: Entry rows besides the medoids of the graph's parts.
+SPREAD = 32
 #: Centres at most, of a sample of so many vectors each.
 CENTRES = 4096
 SAMPLE_PER_CENTRE = 24
@@ -87,21 +89,49 @@ def with_back_edges(out: np.ndarray) -> list[np.ndarray]:
     return np.split((pairs % n).astype(np.int32), np.searchsorted(pairs // n, np.arange(1, n)))
 
 
+def medoids_of(x: np.ndarray, graph: np.ndarray, spread: int = SPREAD) -> np.ndarray:
+    """Where searches begin: the medoid of every part that the graph falls into, and rows spread out farthest first."""
+    n = len(x)
+    a, k = np.nonzero(graph >= 0)
+    b = graph[a, k]
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    mean = np.zeros_like(x)
+    np.add.at(mean, label, x)
+    fit = np.einsum("nd,nd->n", x, mean[label])
+    order = np.lexsort((-fit, label))
+    entry = order[np.concatenate(([True], label[order][1:] != label[order][:-1]))]
+    near = (x @ x[entry].T).max(axis=1)
+    more = []
+    for _ in range(min(spread, n - len(entry))):
+        i = int(np.argmin(near))
+        more.append(i)
+        near = np.maximum(near, x @ x[i])
+    return np.unique(np.concatenate((entry, np.array(more, dtype=np.int64))))
+
+
 def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> list[np.ndarray]:
-    """Rows of x within range (similarity >= least) of every query: greedy from the medoid, then range expansion.
+    """Rows of x within range (similarity >= least) of every query: greedy from the medoids, then range expansion.
 
     All queries of a block move at once. A query's pool is a similarity row (unseen: -inf); a step expands its best
     unexpanded member if that is among the beam's best or in range.
     """
     n = len(x)
-    medoid = int(np.argmax(x @ x.mean(axis=0)))
+    entry = medoids_of(x, graph)
     found = []
     for a in range(0, len(queries), 128):
         q = queries[a : a + 128]
         rows = np.arange(len(q))
         sims = np.full((len(q), n), -np.inf)
         todo = np.full((len(q), n), -np.inf)  # the unexpanded
-        sims[:, medoid] = todo[:, medoid] = q @ x[medoid]
+        sims[:, entry] = todo[:, entry] = q @ x[entry].T
         active = rows
         while len(active):
             at = todo[active].argmax(axis=1)

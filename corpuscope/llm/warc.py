@@ -138,31 +138,38 @@ class MemberScan:
         self.parts: list[bytes] = []
         self.raw: list[bytes] = []
 
-    def feed(self, stretch: bytes) -> tuple[bytes | None, bytes | None]:
-        """(a whole record's bytes, or None; bytes that no member of this range owns, or None)."""
-        data = MAGIC + stretch
-        if self.open is None:
-            d = zlib.decompressobj(31)
-            try:
-                start = d.decompress(data, 16)
-                if start and not start.startswith(b"WARC/"):
-                    return None, data
-                if not start and d.eof:  # an empty member, put there for its last byte
-                    return b"", None
-                self.open, self.parts, self.raw = d, [start], []
-                data = d.unconsumed_tail
-            except zlib.error:
-                return None, data
+    def _go_on(self, data: bytes) -> bool:
+        """Inflate data into the open member; False if it is none."""
         try:
             self.parts.append(self.open.decompress(data))
-        except zlib.error:  # no member after all
-            lost, self.open = MAGIC + stretch, None
-            return None, lost
-        self.raw.append(MAGIC + stretch)
+        except zlib.error:
+            return False
+        self.raw.append(data)
+        start = b"".join(self.parts[:2])[:5]
+        return b"WARC/".startswith(start) if len(start) < 5 else start == b"WARC/"
+
+    def feed(self, stretch: bytes) -> list[tuple[bytes | None, bytes | None]]:
+        """(a whole record's bytes, None) and (None, bytes that no member of this range owns) that the stretch settles."""
+        data = MAGIC + stretch
+        out: list[tuple[bytes | None, bytes | None]] = []
+        if self.open is not None and not self._go_on(data):  # what was open is no member: this stretch may begin one
+            out = [(None, x) for x in self.raw if x is not data]
+            self.open = None
+        elif self.open is None:
+            pass
+        else:
+            return self._ended()
+        self.open, self.parts, self.raw = zlib.decompressobj(31), [], []
+        if not self._go_on(data):
+            self.open = None
+            return [*out, (None, data)]
+        return out + self._ended()
+
+    def _ended(self) -> list[tuple[bytes | None, bytes | None]]:
         if not self.open.eof:
-            return None, None
-        out, self.open = b"".join(self.parts), None
-        return out, None
+            return []
+        self.open = None
+        return [(b"".join(self.parts), None)]
 
     def rest(self) -> bytes | None:
         """The bytes of a member that the range leaves open."""
@@ -200,12 +207,12 @@ def read_warc(spark, path: str, payloads: bool = True, split_bytes: int | None =
                     scan, seq, now = MemberScan(), 0, (p, a)
                     if a == 0 and v.as_py() == b"":  # before a file's first magic
                         continue
-                whole, stray = scan.feed(v.as_py())
-                seq += 1
-                if whole and (r := parse(whole)):
-                    found.append((p, a, seq, r, None))
-                if stray is not None:
-                    found.append((p, a, seq, None, stray))
+                for whole, stray in scan.feed(v.as_py()):
+                    seq += 1
+                    if whole and (r := parse(whole)):
+                        found.append((p, a, seq, r, None))
+                    if stray is not None:
+                        found.append((p, a, seq, None, stray))
             yield _record_batch(found, payloads)
         if now and (tail := scan.rest()) is not None:
             yield _record_batch([(*now, 1 << 40, None, tail)], payloads)
@@ -215,11 +222,11 @@ def read_warc(spark, path: str, payloads: bool = True, split_bytes: int | None =
         out, scan = [], MemberScan()
         for x in pdf.sort_values(["at", "seq"])["piece"]:
             for stretch in bytes(x).split(MAGIC)[1:]:
-                whole, stray = scan.feed(stretch)
-                if stray is not None:
-                    raise ValueError("bytes that belong to no record")
-                if whole and (r := parse(whole)):
-                    out.append({c: r[c] for c in _COLUMNS if payloads or c != "payload"})
+                for whole, stray in scan.feed(stretch):
+                    if stray is not None:
+                        raise ValueError("bytes that belong to no record")
+                    if whole and (r := parse(whole)):
+                        out.append({c: r[c] for c in _COLUMNS if payloads or c != "payload"})
         if scan.rest() is not None:
             raise ValueError("an archive ends inside a record")
         return pd.DataFrame(out, columns=_COLUMNS).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
