@@ -140,7 +140,7 @@ def _parsed(text: Column, source: Column) -> Column:
 def read_articles(spark: SparkSession, path: str, pattern: str = "*.{xml,nxml}") -> DataFrame:
     """Documents of the XML files below path and `corrupt` (null but for a file that is not well-formed)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    parsed = files.select(F.col("path"), _parsed(F.decode("content", F.lit("UTF-8")), F.col("path")).alias("docs"))
+    parsed = files.select(F.col("path"), _parsed(F.decode("content", "UTF-8"), F.col("path")).alias("docs"))
     good = parsed.where("docs is not null").select(F.explode("docs").alias("d"), F.lit(None).cast("string").alias("corrupt")).select("d.*", "corrupt")
     bad = parsed.where("docs is null").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in good.schema.fields[:-1]], F.col("path").alias("corrupt"))
     return good.unionByName(bad)
@@ -191,7 +191,7 @@ def _udf(f, kind: str):
 
 def read_newswire(spark: SparkSession, path: str, pattern: str = "*.sgm") -> DataFrame:
     """Stories of SGML files in Latin-1: identifiers, flags, lists, title, dateline and body paragraphs."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.decode("content", F.lit("ISO-8859-1")).alias("t"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.decode("content", "ISO-8859-1").alias("t"))
     rows = files.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?s)<REUTERS[^>]*>.*?</REUTERS>"), F.lit(0))).alias("r"))
     head = F.regexp_extract("r", r"<REUTERS([^>]*)>", 1)
     clean = _udf(lambda s: re.sub(r"[ \t]+", " ", re.sub(r"[\x00-\x08\x0b-\x1f\x7f]", "", html.unescape(s)).strip()), "string")
