@@ -27,7 +27,7 @@ LEVELS = 16
 SHARD_TOKENS = 1 << 20
 MAGIC = b"TOKS"
 #: Chunks kept as they stand, and runs of letters kept in lower case; the former are made of the latter.
-CHUNKS, CORES = 300_000, 1_000_000
+CHUNKS, CORES = 1_000_000, 900_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -60,46 +60,48 @@ class Encoder(dict):
 
     def plain(self, chunk: str) -> bytes:
         if (out := self.cores.get(chunk)) is None:
-            if len(self.cores) > CORES:
-                self.cores.clear()
             out = self.cores[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
         return out
 
     @staticmethod
     def parts(chunk: str) -> tuple[str, str]:
         """A run of Latin letters in lower case and the marks behind it; two empty strings for any other chunk."""
-        core = chunk.rstrip(".,%&$#*;:!?|")
-        return (core.lower(), chunk[len(core) :]) if core and core.isalpha() and max(core) <= "\xff" else ("", "")
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode the new runs of letters among chunks as one text; an id that ends a run shows where each one stops."""
-        new = [w for w in {self.parts(c)[0] for c in set(chunks) if c not in self} if w and w not in self.cores]
-        if len(new) < 2:
-            return
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u2")
-        ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
-        if len(ends) == len(new) and ends[-1] == 2 * len(ids):
-            if len(self.cores) > CORES:
-                self.cores.clear()
-            raw = ids.tobytes()
-            self.cores.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-
-    def __missing__(self, chunk: str) -> bytes:
+        core = chunk if chunk.isalpha() else chunk.rstrip(".,%&$#*;:!?|")
+        if not core or not (core is chunk or core.isalpha()) or not (core.isascii() or max(core) <= "\xff"):
+            return "", ""
+        return core.lower(), chunk[len(core) :]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Take up chunks. Their new runs of letters are encoded as one text; an id that ends a run shows where it stops."""
         if len(self) > CHUNKS:
             self.clear()
             self[""] = b""
-        low, tail = self.parts(chunk)
-        out = self.plain(low) + (self.plain(tail) if tail else b"") if low else self.plain(chunk)
-        self[chunk] = out
-        return out
+        if len(self.cores) > CORES:
+            self.cores.clear()
+        cores = self.cores
+        split = [(c, *self.parts(c)) for c in chunks]
+        new = list({low for _, low, _ in split if low and low not in cores})
+        if len(new) > 1:
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u2")
+            ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+            if len(ends) == len(new) and ends[-1] == 2 * len(ids):
+                raw = ids.tobytes()
+                cores.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        for chunk, low, tail in split:
+            self[chunk] = self.plain(chunk) if not low else self.plain(low) + self.plain(tail) if tail else self.plain(low)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a text; of null: none."""
         if not text:
             return np.zeros(0, dtype="<u2")
         chunks = text.replace("\n", " ").split(" ")
-        self.learn(chunks)
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), dtype="<u2")
+        out = list(map(self.get, chunks))
+        if None in out:
+            missing = {c for c, x in zip(chunks, out, strict=True) if x is None}
+            self.learn(missing)
+            kept = {c: self[c] for c in missing}
+            out = [kept[c] if x is None else x for c, x in zip(chunks, out, strict=True)]
+        return np.frombuffer(b"".join(out), dtype="<u2")
 
 
 _encoders: dict[str, Encoder] = {}
