@@ -191,8 +191,7 @@ def read_warc(spark, path: str, payloads: bool = True, split_bytes: int | None =
     """
     tune(spark)
     reader = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1"))
-    if split_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    own = spark.conf.get("spark.sql.files.maxPartitionBytes")
     lines = reader.text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +230,11 @@ def read_warc(spark, path: str, payloads: bool = True, split_bytes: int | None =
             raise ValueError("an archive ends inside a record")
         return pd.DataFrame(out, columns=_COLUMNS).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
 
-    found = written(lines.mapInArrow(run, f"{_RECORD}, path string, at bigint, seq bigint, piece binary"), "warc-read")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes) if split_bytes else own)
+    try:
+        found = written(lines.mapInArrow(run, f"{_RECORD}, path string, at bigint, seq bigint, piece binary"), "warc-read")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", own)
     stitched = found.where("piece is not null").groupBy("path").applyInPandas(stitch, _RECORD)
     return found.where("piece is null").select(*_COLUMNS).unionByName(stitched)
 

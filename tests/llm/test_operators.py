@@ -260,7 +260,6 @@ def test_warc(spark, tmp_path):
         got = warc.read_warc(spark, path, split_bytes=size).collect()
         assert len(got) == len(want) and {x["page_id"]: (x["page_id"], x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in got} == want
     spark.conf.set("spark.sql.files.openCostInBytes", old)
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     for f in glob.glob(f"{tmp_path}/w/*.txt"):
         assert gzip.open(f).read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
