@@ -81,9 +81,9 @@ def fuzzy_words(spark: SparkSession, sf_dir: str):
     return expand
 
 
-def search(spark: SparkSession, sf_dir: str, query: str, method: str = "bm25", default: str = "AND", scope: str = "all") -> DataFrame:
-    """Ranked documents of any query of the language."""
-    return spark_sql(spark, sf_dir, search_sql(SPARK, query, method, default, scope, fuzzy_words(spark, sf_dir)))
+def search(spark: SparkSession, sf_dir: str, query: str, method: str = "bm25", default: str = "AND", scope: str = "all", limit: int | None = None) -> DataFrame:
+    """Ranked documents of any query of the language, the first `limit` or all."""
+    return spark_sql(spark, sf_dir, search_sql(SPARK, query, method, default, scope, fuzzy_words(spark, sf_dir), limit))
 
 
 def spell_check(spark: SparkSession, sf_dir: str) -> DataFrame:

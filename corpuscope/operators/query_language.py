@@ -232,8 +232,8 @@ def term_score(method: str, tf: str, df: str, length: str, average: str, k1: flo
     return f"ln(1 + (c.n - {df} + 0.5e0) / ({df} + 0.5e0)) * {tf} * {k1 + 1}e0 / ({tf} + {k1}e0 * ({1 - b}e0 + {b}e0 * {length} / greatest({average}, 1e0)))"
 
 
-def search_sql(d: Dialect, query: str, method: str = "bm25", default: str = "AND", scope: str = "all", fuzzy: Callable[[str, int], list[str]] | None = None) -> str:
-    """Every matching document with rank, score and number of hits, by (score descending, doc_id).
+def search_sql(d: Dialect, query: str, method: str = "bm25", default: str = "AND", scope: str = "all", fuzzy: Callable[[str, int], list[str]] | None = None, limit: int | None = None) -> str:
+    """Every matching document (or the first `limit`, found without sorting all in one task) with rank, score and number of hits, by (score descending, doc_id).
 
     The whole document's score raises a term's part by a quarter where a hit is in the title; a field's score counts its
     own hits, length and average length and drops documents that have hits, but none there.
@@ -253,10 +253,11 @@ def search_sql(d: Dialect, query: str, method: str = "bm25", default: str = "AND
           JOIN term_stats s ON s.term = t.term JOIN field_len l ON l.doc_id = t.doc_id AND l.field = '{scope}'
           JOIN field_avg a ON a.field = '{scope}' JOIN corpus c ON 1 = 1 GROUP BY t.doc_id"""
         keep = "WHERE coalesce(r.score, 0e0) > 0 OR h.n IS NULL"
-    return f"""SELECT doc_id, round(score, 6) AS score, n_hits, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM
+    ranked = f"""SELECT doc_id, round(score, 6) AS score, n_hits, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM
       (SELECT k.doc_id, coalesce(r.score, 0e0) AS score, coalesce(h.n, 0) AS n_hits FROM ({m.docs}) AS k
        LEFT JOIN ({scored}) AS r ON r.doc_id = k.doc_id
        LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({hits}) AS y GROUP BY doc_id) AS h ON h.doc_id = k.doc_id {keep}) AS z"""
+    return ranked if limit is None else f"SELECT * FROM ({ranked}) AS t WHERE rank <= {limit}"
 
 
 def docs_sql(d: Dialect, query: str, default: str = "AND") -> str:

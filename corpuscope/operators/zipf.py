@@ -30,7 +30,11 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
     each = " UNION ALL ".join(f"SELECT '{c}' AS condition, term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM ({condition_sql(d, c)}) AS t GROUP BY doc_id, term) AS g GROUP BY term" for c in CONDITIONS)
     return [
         ("zipf_counts", each),
-        ("zipf", "SELECT condition, term, cf, df, row_number() OVER (PARTITION BY condition ORDER BY cf DESC, term) AS rank FROM zipf_counts"),
+        # a rank is what stands before a term's group (frequency, first letters), from a small histogram, and its place in the group:
+        # no task sorts a whole vocabulary
+        ("zipf_groups", "SELECT condition, cf, substr(term, 1, 2) AS head, count(*) AS n FROM zipf_counts GROUP BY condition, cf, substr(term, 1, 2)"),
+        ("zipf_offsets", "SELECT condition, cf, head, CAST(coalesce(sum(n) OVER (PARTITION BY condition ORDER BY cf DESC, head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM zipf_groups"),
+        ("zipf", "SELECT z.condition, z.term, z.cf, z.df, o.ahead + row_number() OVER (PARTITION BY z.condition, z.cf, substr(z.term, 1, 2) ORDER BY z.term) AS rank FROM zipf_counts z JOIN zipf_offsets o ON o.condition = z.condition AND o.cf = z.cf AND o.head = substr(z.term, 1, 2)"),
         ("zipf_logs", "SELECT condition, term, cf, df, rank, log10(CAST(rank AS DOUBLE)) AS x, log10(CAST(cf AS DOUBLE)) AS y FROM zipf"),
         ("zipf_fit", "SELECT condition, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2 FROM zipf_logs GROUP BY condition"),
         ("power", "SELECT z.condition, z.term, z.cf, z.df, z.rank, log10(CAST(n.n AS DOUBLE) / z.df) AS idf, z.cf * log10(CAST(n.n AS DOUBLE) / z.df) AS power FROM zipf z JOIN n_docs n ON 1 = 1 WHERE z.condition = 'C'"),
