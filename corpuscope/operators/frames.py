@@ -14,7 +14,7 @@ from corpuscope.operators import models, statistics
 from corpuscope.operators.embedding import relations as embedding_relations
 from corpuscope.operators.query_language import search_sql
 from corpuscope.plans.dialect import SPARK
-from corpuscope.plans.relations import TOKEN, VECTOR_WORD, open_index, spark_sql
+from corpuscope.plans.relations import TOKEN, VECTOR_WORD, made, open_index, spark_sql
 from corpuscope.sources.documents import identifiers
 from corpuscope.streaming import index_stream
 
@@ -154,11 +154,7 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term statistics of an index that a stream of documents maintains: every document, then deletion of every tenth."""
-    import uuid
-
-    from corpuscope.plans.relations import _root
-
-    base = f"{_root(spark)}/stream-{uuid.uuid4().hex}"
+    base = made(spark, "stream")
     docs = _docs(spark, sf_dir, "text", F.lit(False).alias("deleted"), F.lit(0).alias("seq"))
     gone = docs.where("doc_id % 10 = 0").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"), F.lit(1).alias("seq"))
     docs.unionByName(gone).write.parquet(f"{base}/in")

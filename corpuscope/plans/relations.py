@@ -7,6 +7,7 @@ dimension are written once for a set of tables, ranged by term, and read by ever
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,27 @@ _built: dict[tuple[str, str], dict[str, str]] = {}
 TABLES = ("documents", "benchmark", "labels", "embeddings", "conversations", "pages")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_made() -> None:
+    """Folders made in this process go with it; a cluster's shared folder outlives sessions."""
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM has ended before
+            return
+
+
+def made(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared root."""
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
@@ -115,7 +137,7 @@ def open_index(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        path = f"{_root(spark)}/index-{uuid.uuid4().hex}"
+        path = made(spark, "index")
         build_index(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
         _built[key] = {n: f"{path}/{n}" for n in ("tok", "stem_dim")}
     for n, p in _built[key].items():
