@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     """(key, n_shingles, component_id, kept) per row of docs; links are set pairs with den * common >= num * union.
 
     component_id: smallest key that links reach, itself included; kept: key = component_id. A null, empty or blank text
-    has no shingles and links with nothing (its key is its component). A row of null key keeps null as its component and
-    is not kept apart from others of null key. Repeated rows of one key get the same component each. An empty table
+    has no shingles and links with nothing (its key is its component). A row of null key links with nothing: its
+    component is null and it is kept. Repeated rows of one key get the same component each. An empty table
     gives an empty one; other columns are not read, so their names cannot clash.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     some = sketch.where("n > 0 and id is not null")
     classes = written(some.groupBy("n", "ha", "hb").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
     alone = sketch.select("id", "n", "ha", "hb")
-    member = written(alone.join(classes.select("n", "ha", "hb", "rep"), ["n", "ha", "hb"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    member = written(alone.join(classes.select("n", "ha", "hb", "rep"), ["n", "ha", "hb"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "members")
 
     reps = some.join(classes.where("m > 1").select(F.col("rep").alias("id"), "n", "ha", "hb"), ["id", "n", "ha", "hb"], "left_semi").unionByName(
         some.join(classes.where("m = 1").select("n", "ha", "hb"), ["n", "ha", "hb"], "left_semi")
@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
 
     out = member.join(root.withColumnsRenamed({"node": "rep"}), "rep", "left")
     label = F.coalesce("root", "rep")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"), (F.col("id") == label).alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
 
 
 def near_dup_query(spark, sf_dir: str) -> DataFrame:
