@@ -5,7 +5,8 @@ shards by hash. In each shard a graph is built: every vector's nearest candidate
 kept before is ALPHA times closer to it), with edges back. A vector's adjacency lists from its shards are united. Every
 vector is then searched in its clusters' shards: greedy best-first from medoids until the beam settles, and as long
 as vectors in range turn up, the range expands through their neighbours. Links are confirmed in double precision and
-counted in the one shard that is first for both; a sample against all vectors audits the recall.
+counted in the one shard that is first for both. A sample drawn by hash, whatever was found, is compared with all vectors
+and audits the recall; where the last overlap still falls short, all vectors are compared block by block instead.
 """
 
 from __future__ import annotations
@@ -32,8 +33,15 @@ SPREAD = 32
 #: Centres at most, of a sample of so many vectors each.
 CENTRES = 4096
 SAMPLE_PER_CENTRE = 24
-AUDIT = 128
+#: Vectors audited: so many at first, eight times as many until AUDIT_LINKED of few links are among them, AUDIT_MOST at most.
+AUDIT = 512
+AUDIT_LINKED = 64
+AUDIT_MOST = 16_384
+#: Vectors of at most so many links are judged apart from those of dense groups.
+FEW = 8
 RECALL = 0.9
+#: Vectors that the comparison of all sends at a time.
+EXACT_BLOCK = 16_384
 
 
 def unit_rows(vectors: list) -> np.ndarray:
@@ -203,7 +211,8 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors of another
     length than the commonest. Equal vectors are linked with each other and share their links. Repeated keys count as
     rows of their own but share a component. An empty table gives an empty one; other columns are not read.
-    The recall audit compares AUDIT vectors with all; below RECALL the search runs again with more overlap.
+    The recall audit compares a sample with all vectors; below RECALL the search runs again with more overlap, and after
+    the last one all vectors are compared with all.
     """
     spark = tune(table.sparkSession)
     base = table.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
@@ -225,8 +234,11 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     centres = centres_of(unit_rows([r["v"] for r in drawn]), k)
     for t in (overlap, 2 * overlap, 4 * overlap):
         counts, stars = _search(classes, centres, min(t, k), least)
-        if _audit(classes, counts, n, least) >= RECALL or t >= k:
+        good = _audit(classes, counts, n, least) >= RECALL
+        if good or t >= k:
             break
+    if not good:
+        counts, stars = _compare_all(classes, n, least)
     root = components(stars, "vec-cc")
     member = classes.select("h", "v", "rep", "m").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
     member = written(member.select("h", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "vec-member")
@@ -296,25 +308,84 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
     return counts, got.where("root != id").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def _compare_all(classes: DataFrame, n: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """As _search, without a graph: every block of vectors is sent once and compared with all. No link is missed."""
+    blocks = -(-n // EXACT_BLOCK)
+    dealt = written(classes.select("rep", "m", "v").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(53)), F.lit(blocks))), "vec-dealt")
+
+    def against(ids: np.ndarray, m: np.ndarray, x: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            groups = Groups(len(ids))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column("rep").to_numpy()
+                hit = (unit_rows(b.column("v").to_pylist()) @ x.T >= least) & (own[:, None] != ids[None, :])
+                on = np.flatnonzero(hit.any(axis=1))
+                for k in on:
+                    near = np.flatnonzero(hit[k])
+                    groups.join(int(near[0]), near)
+                to = ids[hit[on].argmax(axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(own[on]), pa.array(hit[on] @ m), pa.array(to)], names=["id", "links", "root"])
+            label = ids[groups.labels()]
+            on = label != ids
+            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(np.zeros(int(on.sum()), dtype=np.int64)), pa.array(label[on])], names=["id", "links", "root"])
+
+        return run
+
+    passes = []
+    for i in range(blocks):
+        rows = dealt.where(F.col("block") == i).select("rep", "m", "v").collect()
+        if rows:
+            held = np.array([r["rep"] for r in rows], dtype=np.int64), np.array([r["m"] for r in rows], dtype=np.int64), unit_rows([r["v"] for r in rows])
+            passes.append(written(dealt.select("rep", "v").mapInArrow(against(*held), "id bigint, links bigint, root bigint"), "vec-all"))
+    got = passes[0]
+    for p in passes[1:]:
+        got = got.unionByName(p)
+    counts = written(classes.select(F.col("rep").alias("id"), F.lit(0).cast("bigint").alias("links")).unionByName(got.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links")), "vec-counts")
+    return counts, got.select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def _audit(classes: DataFrame, counts: DataFrame, n: int, least: float) -> float:
-    """Links found of links there are, for AUDIT vectors that have some, against all vectors in blocks."""
-    linked = counts.where("links > 0").withColumn("o", F.xxhash64("id", F.lit(43))).orderBy("o").limit(AUDIT // 2)
-    other = counts.withColumn("o", F.xxhash64("id", F.lit(47))).orderBy("o").limit(AUDIT // 2)
-    chosen = linked.unionByName(other).select("id", "links").distinct()
-    rows = classes.select(F.col("rep").alias("id"), "v").join(F.broadcast(chosen), "id").collect()
-    ids, x, got = np.array([r["id"] for r in rows]), unit_rows([r["v"] for r in rows]), sum(r["links"] for r in rows)
+    """Recall by a sample drawn by hash, against all vectors: the mean over linked vectors of the share of their links found.
+
+    Vectors of up to FEW links and those of dense groups are judged each for themselves; the lower mean counts. The sample
+    grows until AUDIT_LINKED vectors of few links are in it, or all vectors, or AUDIT_MOST.
+    """
+    rows = AUDIT
+    while True:
+        order = F.xxhash64("rep", F.lit(47))
+        chosen = classes.select(F.col("rep").alias("id"), "v", order.alias("o")).orderBy("o", "id").limit(rows)
+        chosen = chosen.join(counts, "id", "left").select("id", "v", F.coalesce("links", F.lit(0)).alias("links")).collect()
+        found, true, near = np.array([r["links"] for r in chosen], dtype=np.int64), *_true_links(classes, chosen, least)
+        few, dense = (true > 0) & (near <= FEW), near > FEW
+        if few.sum() >= AUDIT_LINKED or rows >= min(n, AUDIT_MOST):
+            return min((float(np.minimum(1.0, found[on] / true[on]).mean()) for on in (few, dense) if on.any()), default=1.0)
+        rows = min(8 * rows, AUDIT_MOST)
+
+
+def _true_links(classes: DataFrame, chosen: list, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of every chosen vector (id, v), by comparison with all: its links with copies counted, and the classes linked."""
+    ids, x = np.array([r["id"] for r in chosen], dtype=np.int64), unit_rows([r["v"] for r in chosen])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = np.zeros((2, len(ids)), dtype=np.int64)
         for b in batches:
             if b.num_rows:
                 hit = unit_rows(b.column("v").to_pylist()) @ x.T >= least
-                hit &= b.column("rep").to_numpy()[:, None] != ids[None, :]
-                total += int((hit * b.column("m").to_numpy()[:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
-
-    true = classes.select("rep", "m", "v").mapInArrow(block, "n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0
-    return got / true if true else 1.0
+                r, k = np.nonzero(hit)
+                m, own = b.column("m").to_numpy(), b.column("rep").to_numpy()
+                r, k = r[own[r] != ids[k]], k[own[r] != ids[k]]
+                np.add.at(total[0], k, m[r])
+                np.add.at(total[1], k, 1)
+        on = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[0, on]), pa.array(total[1, on])], names=["k", "n", "near"])
+
+    sums = classes.select("rep", "m", "v").mapInArrow(block, "k bigint, n bigint, near bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
+    out = np.zeros((2, len(ids)), dtype=np.int64)
+    for r in sums.collect():
+        out[:, r["k"]] = r["n"], r["near"]
+    return out[0], out[1]
 
 
 def vector_dup_query(spark, sf_dir: str) -> DataFrame:

@@ -144,6 +144,40 @@ def test_search_over_the_graph_finds_what_is_near():
     assert found >= 0.98 * (x @ x.T >= 0.9).sum()
 
 
+def thin_pairs(seed, n, pairs, group=0):
+    """n scattered vectors of which so many have one near copy each, and a dense group."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, 24))
+    x = np.concatenate((x, x[:pairs] + 0.05 * r.standard_normal((pairs, 24)), x[-1] + 0.05 * r.standard_normal((group, 24))))
+    return vector_dup.unit_rows(x.tolist())
+
+
+def test_audit_sees_lost_links(spark):
+    x = thin_pairs(6, 1500, 80, 300)
+    true = (x @ x.T >= 0.9).sum(axis=1) - 1
+    classes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "rep long, m long, v array<double>").cache()
+    counts = lambda links: spark.createDataFrame([(i, int(n)) for i, n in enumerate(links)], "id long, links long")
+    assert vector_dup._audit(classes, counts(true), len(x), 0.9) == 1
+    lost = true.copy()  # every second pair; the group keeps its links, which are most
+    lost[0:80:2] = lost[1500:1580:2] = 0
+    assert lost.sum() > 0.99 * true.sum()
+    assert vector_dup._audit(classes, counts(lost), len(x), 0.9) < 0.7
+
+
+def test_vectors_are_all_compared_where_the_search_falls_short(spark, monkeypatch):
+    x = thin_pairs(7, 400, 40, 30)
+    lossy = vector_dup._search
+    monkeypatch.setattr(vector_dup, "_search", lambda *a: tuple(t.where("id % 2 = 0") if "id" in t.columns else t.where("b % 2 = 0") for t in lossy(*a)))
+    monkeypatch.setattr(vector_dup, "EXACT_BLOCK", 150)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(9000, x[3].tolist()), (9001, x[3].tolist())]
+    got = {r["vec_id"]: r for r in vector_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    y = np.array([v for _, v in rows])
+    hit = y @ y.T >= 0.9
+    ids = [i for i, _ in rows]
+    assert [got[i]["n_links"] for i in ids] == (hit.sum(axis=1) - 1).tolist()
+    assert {i: got[i]["component_id"] for i in ids} == brute_components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(hit), strict=True) if a < b])
+
+
 def test_language(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     out = {r["doc_id"]: r for r in langid.langid_query(spark, SF).collect()}
