@@ -133,18 +133,40 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
+class _WordSlot(dict):
+    """Slots and signs of words, kept for the words seen last."""
+
+    def __missing__(self, word: str) -> tuple[int, float]:
+        if len(self) > 200_000:
+            self.clear()
+        v = self[word] = _slot(word.lower(), WORD_DIM, 2)
+        return v
+
+
+_word_slots = _WordSlot()
+
+
+def word_vector(words: list[str]) -> np.ndarray:
+    """All words of a block, hashed; of unit length, however many they are."""
+    v = [0.0] * WORD_DIM
+    for w in words:
+        i, s = _word_slots[w]
+        v[i] += s
+    out = np.array(v, dtype=np.float32)
+    norm = float(np.sqrt(out @ out))
+    return out / norm if norm else out
+
+
 def block_vectors(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), DIM), dtype=np.float32)
     for k, b in enumerate(blocks):
         x[k, :PATH_DIM] = path_vector(b.path)
-        words = b.text[:400].split(" ")
-        for w in words[:12]:
-            i, s = _slot(w.lower(), WORD_DIM, 2)
-            x[k, PATH_DIM + i] += 0.25 * s
+        words = b.text.split(" ")
+        x[k, PATH_DIM : PATH_DIM + WORD_DIM] = word_vector(words)
         n = len(b.text)
         marks = sum(b.text.count(c) for c in ".,;!?")
         x[k, PATH_DIM + WORD_DIM :] = (
-            np.log1p(n) / 6, min(1.0, b.link_chars / n), min(1.0, 20 * marks / n), float(b.text[-1] in ".!?:\"'"), min(1.0, len(words) / 40),
+            np.log1p(n) / 6, min(1.0, b.link_chars / n), min(1.0, 20 * marks / n), float(b.text[-1] in ".!?:\"'"), np.log1p(len(words)) / 6,
             k / max(1, len(blocks) - 1), float(n > 160), 1.0,
         )
     return x

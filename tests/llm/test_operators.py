@@ -280,6 +280,15 @@ def test_main_text(spark):
     assert html_text.main_texts([page], net) == ["A & B\nOne two\nThree four five six."]
 
 
+def test_all_words_of_a_block_are_read():
+    start = prose(11, 100)
+    one, two = (html_text.block_vectors([html_text.Block(f"{start} {prose(k, 200)}.", ("p",), 0)])[0] for k in (12, 13))
+    words = slice(html_text.PATH_DIM, html_text.PATH_DIM + html_text.WORD_DIM)
+    assert np.abs(one[words] - two[words]).max() > 0.05
+    counts = [html_text.block_vectors([html_text.Block(prose(14, n), ("p",), 0)])[0][words.stop + 4] for n in (50, 200, 800)]
+    assert counts == sorted(set(counts))
+
+
 def test_warc(spark, tmp_path):
     r = random.Random(6)
     rows = [(i, f"http://x/{i}", "".join(chr(r.randint(32, 1000)) for _ in range(r.randint(0, 3000)))) for i in range(60)]
