@@ -32,7 +32,9 @@ TRAIN_PAGES = 1600
 EPOCHS = 12
 SEED = 7
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z][^>]*>?|<[!?][^>]*>?|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z][^>]*>?|<[!?][^>]*>?|[^<]+|<", re.S | re.I)
+#: Left out with what they hold if they are closed; without an end the tag alone is.
+_HIDDEN = re.compile(r"<(/?)(template|select|svg)(?=[\s/>])[^>]*>", re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -50,6 +52,21 @@ class Block:
     link_chars: int
 
 
+def _hidden_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Where every hidden element that has an end ends: numbers of the tokens. One that ends itself is no element."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for k, m in enumerate(tokens):
+        if h := _HIDDEN.fullmatch(m[0]):
+            name = h[2].lower()
+            if not h[1]:
+                if name != "svg" or not m[0].endswith("/>"):
+                    begun.setdefault(name, []).append(k)
+            elif begun.get(name):
+                ends[begun[name].pop()] = k
+    return ends
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order; broken markup is read on: unclosed tags stay open, stray ends are dropped."""
     out: list[Block] = []
@@ -66,8 +83,21 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page or ""):
+    tokens = _TOKEN.finditer(page or "")
+    hides = bool(page and _HIDDEN.search(page))
+    ends: dict[int, int] = {}
+    if hides:
+        tokens = list(tokens)
+        ends = _hidden_ends(tokens)
+    until = -1
+    for number, m in enumerate(tokens):
+        if number <= until:
+            continue
         t = m[0]
+        if hides and _HIDDEN.fullmatch(t):
+            until = ends.get(number, number)
+            parts.append(" ")
+            continue
         if t[0] != "<" or t == "<" or (name := _NAME.match(t)) is None:
             if t[0] != "<" or t == "<":
                 parts.append(t)

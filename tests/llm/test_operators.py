@@ -289,6 +289,27 @@ def test_all_words_of_a_block_are_read():
     assert counts == sorted(set(counts))
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>a</p><svg-icon name="x"></svg-icon><p>rest of article</p>', ["a", "rest of article"]),
+        ('<p>a <svg class="i"/> b</p><p>rest</p>', ["a b", "rest"]),
+        ('<p>a <svg class="i"> b</p><p>rest</p>', ["a b", "rest"]),
+        ('<p>a <svg class="i"> b</p><p>rest</p><svg><title>t</title></svg><p>end</p>', ["a b", "rest", "end"]),
+        ("<p>a <svg><svg><text>t</text></svg><text>u</text></svg> b</p><p>rest</p>", ["a b", "rest"]),
+        ("<p>a</p><select-box></select-box><template-x>b</template-x><script-x></script-x><p>rest</p>", ["a", "b", "rest"]),
+        ("<p>a</p><select><p>rest</p>", ["a", "rest"]),
+        ("<p>a</p><TEMPLATE id=t><p>no</p></template ><p>rest</p>", ["a", "rest"]),
+        ("<p>a</p><select><option>no</option></select><p>rest</p>", ["a", "rest"]),
+        ("<p>a</p><script>var s = '<svg>';</script><p>rest</p><svg>no</svg>", ["a", "rest"]),
+        ("<p>a</p><script>if (a </p>", ["a"]),
+        ("<p>a</p><svg", ["a"]),
+    ],
+)
+def test_broken_markup_loses_no_text(page, want):
+    assert [b.text for b in html_text.blocks_of(page)] == want
+
+
 def test_warc(spark, tmp_path):
     r = random.Random(6)
     rows = [(i, f"http://x/{i}", "".join(chr(r.randint(32, 1000)) for _ in range(r.randint(0, 3000)))) for i in range(60)]
