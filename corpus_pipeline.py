@@ -9,7 +9,9 @@ from corpuscope.llm import decontam, langid, near_dup, packing, toxicity
 
 #: A prediction below this is as good as none among the learned languages.
 LEAST_LANG_SCORE = 0.3
-SIMILAR = (85, 100)
+#: Documents are near duplicates at a Jaccard similarity of five-word shingles of 4/5 or more; bands of 5 miss one pair in 20,000 there.
+SIMILAR = (80, 100)
+BAND_ROWS = 5
 
 
 def _kept(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of smallest doc_id. Rows of null doc_id stay."""
-    gone = near_dup.near_duplicates(docs, num=SIMILAR[0], den=SIMILAR[1]).where("not kept").select("doc_id")
+    gone = near_dup.near_duplicates(docs, num=SIMILAR[0], den=SIMILAR[1], rows=BAND_ROWS).where("not kept").select("doc_id")
     return _kept(docs.join(gone, "doc_id", "left_anti"), docs.columns)
 
 

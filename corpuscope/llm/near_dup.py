@@ -22,7 +22,6 @@ from corpuscope.llm.common import ASCII_LOWER, components, mix64, only, tune, wr
 SHINGLE = 5
 BINS = 128
 ROWS = 6
-BANDS = BINS // ROWS
 #: Pairs whose signatures agree on a smaller share are not confirmed: at a true share of 0.85 that is four deviations off.
 SLACK = 4.0
 BLOCK = 1024
@@ -89,15 +88,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    """len(sig) x BANDS bucket keys; the band's number is part of the key."""
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sig), BANDS)).copy()
-    for r in range(ROWS):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : BANDS * ROWS : ROWS])
+def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """len(sig) x (BINS // rows) bucket keys; the band's number is part of the key."""
+    n = BINS // rows
+    key = np.broadcast_to(np.arange(n, dtype=np.uint64), (len(sig), n)).copy()
+    for r in range(rows):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : n * rows : rows])
     return key
 
 
-def _sketch(key: str, text: str, schema: pa.Schema):
+def _sketch(key: str, text: str, schema: pa.Schema, rows: int = ROWS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for b in batches:
@@ -111,7 +111,7 @@ def _sketch(key: str, text: str, schema: pa.Schema):
                 a[i], c[i] = mix64(sets[i]).sum(dtype=np.uint64).view(np.int64), mix64(sets[i] ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).view(np.int64)
             keys: list = [None] * len(sets)
             brief: list = [None] * len(sets)
-            for i, x, s in zip(on, bands(sig).view(np.int64), mix64(sig).astype(np.uint8), strict=True):
+            for i, x, s in zip(on, bands(sig, rows).view(np.int64), mix64(sig).astype(np.uint8), strict=True):
                 keys[i], brief[i] = x, s.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [b.column(key), pa.array(n), pa.array(a), pa.array(c), pa.array(keys, pa.list_(pa.int64())), pa.array(brief, pa.binary())], schema=schema
@@ -252,13 +252,14 @@ def _links_within(least: int, num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 85, den: int = 100, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) per row of docs; links are set pairs with den * common >= num * union.
 
     component_id: smallest key that links reach, itself included; kept: key = component_id. A null, empty or blank text
     has no shingles and links with nothing (its key is its component). A row of null key links with nothing: its
     component is null and it is kept. Repeated rows of one key get the same component each. An empty table
-    gives an empty one; other columns are not read, so their names cannot clash.
+    gives an empty one; other columns are not read, so their names cannot clash. Bands have `rows` bins: a pair of
+    similarity s meets in no bucket with a chance of (1 - s ** rows) ** (BINS // rows).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     spark = tune(docs.sparkSession)
     base = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     schema = StructType.fromDDL("id bigint, n bigint, ha bigint, hb bigint, keys array<bigint>, sig binary")
-    sketch = written(base.mapInArrow(_sketch("id", "text", to_arrow_schema(schema)), schema), "sketch")
+    sketch = written(base.mapInArrow(_sketch("id", "text", to_arrow_schema(schema), rows), schema), "sketch")
 
     # classes of equal sets: one row each under their smallest key
     some = sketch.where("n > 0 and id is not null")
@@ -278,9 +279,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
         some.join(classes.where("m = 1").select("n", "ha", "hb"), ["n", "ha", "hb"], "left_semi")
     )
     reps = written(reps.dropDuplicates(["id"]).select("id", "keys", "sig"), "reps")
-    rows = reps.select("id", F.explode("keys").alias("bucket"))
-    full = written(rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("m")).where("m > 1"), "buckets")
-    inside = written(rows.join(full, "bucket"), "bucketed")
+    keyed = reps.select("id", F.explode("keys").alias("bucket"))
+    full = written(keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("m")).where("m > 1"), "buckets")
+    inside = written(keyed.join(full, "bucket"), "bucketed")
     stars = inside.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
 
     sigs = reps.select("id", "sig")

@@ -1,5 +1,7 @@
 """The pipeline's stages: what they keep, and that each works on what is left."""
 
+import random
+
 import corpus_pipeline
 from corpuscope.llm import decontam, near_dup
 
@@ -24,3 +26,27 @@ def test_stages(spark):
 
 def test_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "decontamination", "packing"]
+
+
+def test_near_duplicates_by_brute_force(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for family in range(60):
+        base = [word() for _ in range(200)]
+        for k in range(3):
+            copy = list(base)
+            for _ in range(k * r.randint(1, 5)):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((10 * family + k, " ".join(copy)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    similar = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 10 == b // 10}
+    assert sum(0.8 <= s < 0.85 for s in similar.values()) >= 5 and sum(s < 0.8 for s in similar.values()) >= 5
+    root = {i: i for i in sets}
+    for _ in range(3):
+        for (a, b), s in similar.items():
+            if s >= 0.8:
+                root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(x["doc_id"] for x in left.collect()) == [i for i in sorted(sets) if root[i] == i]
