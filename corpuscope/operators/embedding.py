@@ -105,9 +105,16 @@ def _knn(d: Dialect) -> str:
     return f"SELECT word, count(CASE WHEN r1 <= 5 AND r2 <= 5 THEN 1 END) / 5e0 AS kept FROM ({ranked}) AS z GROUP BY word"
 
 
-def _buckets(d: Dialect) -> str:
-    near = _nearest(d, 300, 5)
-    return f"SELECT {BUCKETS.format(c='m.cf')} AS bucket, count(DISTINCT n.word) AS words, round(avg(n.sim), 6) AS sim, {d.median('o.cf')} AS median_near FROM ({near}) AS n JOIN (SELECT word, cf FROM model) AS m ON m.word = n.word JOIN (SELECT word, cf FROM model) AS o ON o.word = n.near GROUP BY {BUCKETS.format(c='m.cf')}"
+def _buckets(d: Dialect, k: int = 5, per_bucket: int = 120) -> str:
+    """By bucket, over so many of its words in hash order: similarity and count of the k nearest, and whether and where a word of the same stem is among them."""
+    bucket = BUCKETS.format(c="m.cf")
+    words = f"SELECT m.word, m.cf, m.vec, s.stem, {bucket} AS bucket, count(*) OVER (PARTITION BY {bucket}) AS words, row_number() OVER (PARTITION BY {bucket} ORDER BY md5(m.word), m.word) AS pick, count(s.stem) OVER (PARTITION BY s.stem) AS kin FROM model m LEFT JOIN stem_dim s ON s.word = m.word"
+    pairs = f"SELECT a.bucket, a.words, a.kin, a.word, b.word AS near, b.cf, {_cos(d, 'a.vec', 'b.vec')} AS sim, CASE WHEN a.stem = b.stem THEN 1 ELSE 0 END AS variant FROM (SELECT * FROM graded WHERE pick <= {per_bucket}) AS a JOIN graded b ON b.word <> a.word"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(sim, 9) DESC, near) AS rank FROM (WITH graded AS ({words}) {pairs}) AS p"
+    first = f"SELECT *, min(CASE WHEN variant = 1 THEN rank END) OVER (PARTITION BY word) AS hit FROM ({ranked}) AS z WHERE rank <= {k}"
+    with_variant = "count(DISTINCT CASE WHEN kin > 1 THEN word END)"
+    share = lambda x: f"round({x} / CAST(nullif({with_variant}, 0) AS DOUBLE), 6)"
+    return f"SELECT bucket, max(words) AS words, count(DISTINCT word) AS sampled, round(avg(sim), 6) AS sim, {d.median('cf')} AS median_near, {with_variant} AS with_variant, {share('count(DISTINCT CASE WHEN hit IS NOT NULL THEN word END)')} AS variant_hit, {share('sum(CASE WHEN rank = hit THEN 1e0 / rank ELSE 0e0 END)')} AS variant_mrr FROM ({first}) AS n GROUP BY bucket"
 
 
 def _overlap(d: Dialect) -> str:

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from corpuscope import catalog
@@ -69,6 +70,36 @@ def test_stream_equals_rebuild(spark):
     assert key(stream(spark, SF)) == key(term_stats(postings(kept)))
 
 
+def test_words_of_every_bucket_are_evaluated(spark, duck):
+    from corpuscope.operators.embedding import BUCKETS, _buckets, relations
+    from corpuscope.plans.dialect import SPARK
+    from corpuscope.plans.relations import spark_sql
+
+    test_equals_oracle("r26_bucket_eval", spark, duck)
+    k = 60  # the vectors know no stems, so that few variants are nearer
+    got = {r["bucket"]: r for r in spark_sql(spark, SF, _buckets(SPARK, k), relations(SPARK)).collect()}
+    sql = f"SELECT m.word, m.vec, s.stem, md5(m.word) AS h, {BUCKETS.format(c='m.cf')} AS bucket FROM model m LEFT JOIN stem_dim s ON s.word = m.word"
+    model = sorted(spark_sql(spark, SF, sql, relations(SPARK)).collect(), key=lambda r: (r["h"], r["word"]))
+    x = np.array([r["vec"] for r in model])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(x @ x.T, 9)
+    assert set(got) == {r["bucket"] for r in model}
+    for bucket, r in got.items():
+        mine = [i for i, w in enumerate(model) if w["bucket"] == bucket]
+        assert r["words"] == len(mine) and r["sampled"] == min(120, len(mine))
+        ranks = []
+        for i in mine[:120]:
+            near = sorted((j for j in range(len(model)) if j != i), key=lambda j: (-sims[i, j], model[j]["word"]))
+            kin = {j for j in near if model[i]["stem"] is not None and model[j]["stem"] == model[i]["stem"]}
+            if kin:
+                ranks.append(next((n for n, j in enumerate(near[:k], 1) if j in kin), 0))
+        assert r["with_variant"] == len(ranks)
+        if ranks:
+            assert r["variant_hit"] == pytest.approx(np.mean([n > 0 for n in ranks]), abs=2e-6)
+            assert r["variant_mrr"] == pytest.approx(np.mean([1 / n if n else 0 for n in ranks]), abs=2e-6)
+    assert any(r["variant_hit"] for r in got.values())
+
+
 def test_rows_only_queries(spark):
     q = catalog.queries()
     sentences = q["t7_sentences"](spark, SF).groupBy("doc_id").count().collect()
