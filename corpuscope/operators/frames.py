@@ -140,16 +140,21 @@ def tsne(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skip-gram and CBOW over the sentences of the benchmark texts, side by side."""
+    """Skip-gram and CBOW over the sentences of the documents, side by side."""
+    return models.train_models(training_sentences(_docs(spark, sf_dir, "text")), dim=20, epochs=3, least=2)
+
+
+def training_sentences(docs: DataFrame) -> DataFrame:
+    """(model, words): every sentence of every line once a model, without stop words and single letters; repeated words stay."""
 
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(split_sentences)
 
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.pandas_udf(run, "array<string>")("text")).alias("s"))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("t"))
+    items = lines.select(F.explode(F.pandas_udf(run, "array<string>")("t")).alias("s"))
     words = F.transform(F.regexp_extract_all("s", F.lit(VECTOR_WORD), F.lit(0)), F.lower)
-    rows = items.select(F.array_except(words, F.array(*map(F.lit, STOP_WORDS))).alias("words")).where(F.size("words") > 1)
-    both = rows.select(F.explode(F.array(F.lit("sg-d20"), F.lit("cbow-d20"))).alias("model"), "words")
-    return models.train_models(both, dim=20, epochs=3, least=2)
+    rows = items.select(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(list(STOP_WORDS))).alias("words")).where(F.size("words") > 1)
+    return rows.select(F.explode(F.array(F.lit("sg-d20"), F.lit("cbow-d20"))).alias("model"), "words")
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:

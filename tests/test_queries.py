@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -107,3 +108,23 @@ def test_rows_only_queries(spark):
     vectors = q["r28_sgns"](spark, SF).collect()
     assert {r["model"] for r in vectors} == {"sg-d20", "cbow-d20"} and all(len(r["vec"]) == 20 for r in vectors)
     assert q["r23_pca"](spark, SF).count() == 400
+
+
+def test_training_reads_every_word_of_the_documents(spark, monkeypatch):
+    from corpuscope.functions.sentences import split_sentences
+    from corpuscope.functions.stopwords import STOP_WORDS
+    from corpuscope.operators import frames, models
+    from corpuscope.plans.relations import VECTOR_WORD
+
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["Insulin, insulin x b insulin.\ninsulin again", None, ""]
+    want = []
+    for sentence in (s for t in texts if t for line in t.split("\n") for s in split_sentences(line)):
+        words = [w.lower() for w in re.findall(VECTOR_WORD, sentence)]
+        words = [w for w in words if len(w) > 1 and w not in STOP_WORDS]
+        want += [words] if len(words) > 1 else []
+    assert ["insulin"] * 3 in want
+    rows = frames.training_sentences(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(r["words"] for r in rows.where("model = 'sg-d20'").collect()) == sorted(want)
+    monkeypatch.setattr(models, "MAX_TOKENS", 100)
+    with pytest.raises(ValueError, match="more than the 100"):
+        models.train_models(rows)
