@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,29 @@ def shared_root(spark: SparkSession) -> str:
 _made: list[tuple[object, str]] = []
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a mapInArrow, which at a task's end gives the worker's free memory back: workers are reused."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared root; it is removed when the driver's Python ends."""
     path = f"{shared_root(spark)}/scratch/{name}-{uuid.uuid4().hex}"
@@ -60,12 +86,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write df below the shared root as Parquet and read it again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (out, path)
+    return out
+
+
+_tables: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing will read again."""
+    for t in tables:
+        _, path = _tables.pop(id(t))
+        drop_path(t.sparkSession, path)
+        _made.remove((t.sparkSession, path))
 
 
 def crc_mod(key: Column, n: int) -> Column:

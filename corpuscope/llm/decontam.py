@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import ALNUM_ONLY, only, tune, written
+from corpuscope.llm.common import ALNUM_ONLY, only, released, tune, written
 from corpuscope.llm.wavelet import WaveletMatrix
 
 WINDOW = 13
@@ -269,7 +269,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         base = out.select(*[F.col(f"`{c}`") for c in kept]) if k == 0 else out
         names = {"n_words": f"_n{k}", "spans": f"_s{k}", "items": f"_i{k}"}
         schema = StructType(base.schema.fields + StructType.fromDDL(HITS).fields)
-        scanned = base.mapInArrow(_scan(phrases, text, window, to_arrow_schema(schema)), schema)
+        scanned = base.mapInArrow(released(_scan(phrases, text, window, to_arrow_schema(schema))), schema)
         out = scanned.withColumnsRenamed(names)
         if blocks > 1:
             out = written(out, "decontam")
@@ -322,7 +322,7 @@ def remove_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([cut(t.as_py(), s.as_py()) for t, s in zip(b.column(text), b.column("spans"), strict=True)], b.schema.field(k).type)
             yield b.set_column(k, b.schema.field(k), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def decontam_query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import only, tune
+from corpuscope.llm.common import only, released, tune
 
 PATH_DIM = 128
 WORD_DIM = 16
@@ -505,7 +505,7 @@ def extract(pages: DataFrame, column: str = "html", net: Network | None = None)
             own = [b.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow)
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(released(run), schema)
 
 
 def html_query(spark, sf_dir: str) -> DataFrame:

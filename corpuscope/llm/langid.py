@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import crc_mod, only, tune
+from corpuscope.llm.common import crc_mod, only, released, tune
 
 MAX_N = 3
 BITS = 16
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> KernelModel:
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array(bits, pa.binary())], names=["lang", "draw", "bits"])
 
     drawn = own.withColumn("draw", draw).where(F.col("draw") < share).select("lang", "draw", "text")
-    got = drawn.mapInArrow(run, "lang string, draw double, bits binary").where("bits is not null").collect()
+    got = drawn.mapInArrow(released(run), "lang string, draw double, bits binary").where("bits is not null").collect()
     got.sort(key=lambda r: (r["draw"], r["lang"]))
     kept: dict[str, list[np.ndarray]] = {}
     for r in got:
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
             names, scores = model.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def langid_query(spark, sf_dir: str) -> DataFrame:

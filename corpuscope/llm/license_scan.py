@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import only, tune
+from corpuscope.llm.common import only, released, tune
 from corpuscope.llm.decontam import words_of
 
 #: Share of a template's words that must be matched, and that a window must hold to be aligned.
@@ -178,7 +178,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", least: float = COVERAGE)
             extra = [pa.array([n for n, _ in got], pa.int64()), pa.array([x for _, x in got], arrow.field("licenses").type)]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def license_query(spark, sf_dir: str) -> DataFrame:

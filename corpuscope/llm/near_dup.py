@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import ASCII_LOWER, components, mix64, only, tune, written
+from corpuscope.llm.common import ASCII_LOWER, components, mix64, only, released, tune, written
 
 SHINGLE = 5
 BINS = 128
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     spark = tune(docs.sparkSession)
     base = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     schema = StructType.fromDDL("id bigint, n bigint, ha bigint, hb bigint, keys array<bigint>, sig binary")
-    sketch = written(base.mapInArrow(_sketch("id", "text", to_arrow_schema(schema), rows), schema), "sketch")
+    sketch = written(base.mapInArrow(released(_sketch("id", "text", to_arrow_schema(schema), rows)), schema), "sketch")
 
     # classes of equal sets: one row each under their smallest key
     some = sketch.where("n > 0 and id is not null")
@@ -296,19 +296,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-        return two.mapInArrow(run, "a bigint, b bigint")
+        return two.mapInArrow(released(run), "a bigint, b bigint")
 
     def full_sets(nodes: DataFrame, name: str) -> DataFrame:
         """Sets of the documents in nodes (id), made again from their texts."""
         nodes = written(nodes.distinct(), name + "-nodes")
         ddl = StructType.fromDDL("id bigint, s binary")
         texts = base.where("id is not null and text is not null").join(nodes, "id", "left_semi")
-        return written(texts.mapInArrow(_sets("text", to_arrow_schema(ddl)), ddl).dropDuplicates(["id"]), name + "-sets")
+        return written(texts.mapInArrow(released(_sets("text", to_arrow_schema(ddl))), ddl).dropDuplicates(["id"]), name + "-sets")
 
     pairs = written(close(stars), "stars")
     sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "stars")
     two = pairs.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").select("a", "b", "sa", "sb")
-    links = written(two.mapInArrow(_confirm(num, den), "a bigint, b bigint"), "stars-links")
+    links = written(two.mapInArrow(released(_confirm(num, den)), "a bigint, b bigint"), "stars-links")
     root = components(links, "cc1")
 
     # what the stars leave open: buckets that hold more than one component
@@ -326,9 +326,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "id")
 
-    rest = written(dealt(parts).mapInArrow(_with_candidates(least), held), "rest")
+    rest = written(dealt(parts).mapInArrow(released(_with_candidates(least)), held), "rest")
     sets = full_sets(rest.select("id"), "rest")
-    more = written(dealt(rest.join(sets, "id")).mapInArrow(_links_within(least, num, den), "a bigint, b bigint"), "rest-links")
+    more = written(dealt(rest.join(sets, "id")).mapInArrow(released(_links_within(least, num, den)), "a bigint, b bigint"), "rest-links")
     if more.limit(1).count():
         root = components(links.unionByName(more), "cc2")
 

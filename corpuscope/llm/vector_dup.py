@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import components, only, tune, written
+from corpuscope.llm.common import components, only, released, tune, written
 
 COSINE = 0.9
 SHARD = 2048
@@ -256,7 +256,7 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
             near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :overlap]
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("m"), b.column("v"), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["id", "m", "v", "own"])
 
-    placed = classes.select("rep", "m", "v").mapInArrow(assign, "id bigint, m bigint, v array<double>, own array<int>")
+    placed = classes.select("rep", "m", "v").mapInArrow(released(assign), "id bigint, m bigint, v array<double>, own array<int>")
     rows = placed.select("id", "m", "v", "own", F.explode("own").alias("c"))
     size = written(rows.groupBy("c").agg(F.count("*").alias("n")).select("c", F.ceil(F.col("n") / SHARD).cast("int").alias("parts")), "vec-sizes")
     rows = rows.join(F.broadcast(size), "c")  # one row a centre, CENTRES at most
@@ -338,7 +338,7 @@ def _compare_all(classes: DataFrame, n: int, least: float) -> tuple[DataFrame, D
         rows = dealt.where(F.col("block") == i).select("rep", "m", "v").collect()
         if rows:
             held = np.array([r["rep"] for r in rows], dtype=np.int64), np.array([r["m"] for r in rows], dtype=np.int64), unit_rows([r["v"] for r in rows])
-            passes.append(written(dealt.select("rep", "v").mapInArrow(against(*held), "id bigint, links bigint, root bigint"), "vec-all"))
+            passes.append(written(dealt.select("rep", "v").mapInArrow(released(against(*held)), "id bigint, links bigint, root bigint"), "vec-all"))
     got = passes[0]
     for p in passes[1:]:
         got = got.unionByName(p)
@@ -381,7 +381,7 @@ def _true_links(classes: DataFrame, chosen: list, least: float) -> tuple[np.ndar
         on = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[0, on]), pa.array(total[1, on])], names=["k", "n", "near"])
 
-    sums = classes.select("rep", "m", "v").mapInArrow(block, "k bigint, n bigint, near bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
+    sums = classes.select("rep", "m", "v").mapInArrow(released(block), "k bigint, n bigint, near bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
     out = np.zeros((2, len(ids)), dtype=np.int64)
     for r in sums.collect():
         out[:, r["k"]] = r["n"], r["near"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import only, scratch_path, tune, written
+from corpuscope.llm.common import only, released, scratch_path, tune, written
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
@@ -97,7 +97,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
                 out.append(member(record(i.as_py(), u.as_py(), h.as_py().encode("utf-8", "surrogatepass"), digest, r.as_py()))[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    rows.mapInArrow(released(run), "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
 def parse(raw: bytes) -> dict | None:
@@ -232,7 +232,7 @@ def read_warc(spark, path: str, payloads: bool = True, split_bytes: int | None =
 
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes) if split_bytes else own)
     try:
-        found = written(lines.mapInArrow(run, f"{_RECORD}, path string, at bigint, seq bigint, piece binary"), "warc-read")
+        found = written(lines.mapInArrow(released(run), f"{_RECORD}, path string, at bigint, seq bigint, piece binary"), "warc-read")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", own)
     stitched = found.where("piece is not null").groupBy("path").applyInPandas(stitch, _RECORD)
