@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import only, tune, written
-from corpuscope.llm.token_files import crc, encoder, tokenizer_path
+from corpuscope.llm.common import only, released, tune, written
+from corpuscope.llm.encoder import encoder, tokenizer_path
+from corpuscope.llm.token_files import crc
 
 CAPACITY = 4096
 END = 1
@@ -168,8 +169,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", end: int =
         enc = encoder(file)
         for b in batches:
             rows: list[tuple] = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.concatenate((enc.ids(t.as_py()), tail))
+            for i, x in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
+                ids = np.concatenate((x, tail))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((i, k, at, len(part), crc(part)))
@@ -178,7 +179,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", end: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     tune(docs.sparkSession)
-    return base.mapInArrow(run, _PIECES)
+    return base.mapInArrow(released(run), _PIECES)
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", end: int = END, capacity: int = CAPACITY, shard: int = SHARD_PIECES) -> DataFrame:

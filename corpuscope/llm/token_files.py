@@ -8,7 +8,6 @@ folder, so that executors need no file system of their own; repeated keys keep t
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,100 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import only, scratch_path, tune
+from corpuscope.llm.common import forget, only, released, scratch_path, tune, written
+from corpuscope.llm.encoder import LEVELS, encoder, tokenizer_path
 from corpuscope.llm.wavelet import WaveletMatrix
 
-TOKENIZER = "word_bpe_49k.json"
 END = 2
-LEVELS = 16
 SHARD_TOKENS = 1 << 20
 MAGIC = b"TOKS"
-#: Chunks kept as they stand, and runs of letters kept in lower case; the former are made of the latter.
-CHUNKS, CORES = 1_000_000, 900_000
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-class Encoder(dict):
-    """Ids of a text, chunk by chunk between spaces and line feeds, each chunk's ids kept as uint16 bytes.
-
-    The tokenizer drops white space, composes no character across it and finds merges within runs of letters, single
-    digits and runs of other characters, so a text's ids are those of its chunks in order. A chunk of Latin letters and
-    a tail of punctuation is a run of letters and a run of others; letters are read in lower case.
-    """
-
-    def __init__(self, path: str):
-        super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << LEVELS:
-            raise ValueError("ids of more than 16 bits")
-        self[""] = b""
-        self.cores: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(1 << LEVELS, dtype=bool)  # ids that end a run of letters
-        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-
-    def plain(self, chunk: str) -> bytes:
-        if (out := self.cores.get(chunk)) is None:
-            out = self.cores[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        return out
-
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, str]:
-        """A run of Latin letters in lower case and the marks behind it; two empty strings for any other chunk."""
-        core = chunk if chunk.isalpha() else chunk.rstrip(".,%&$#*;:!?|")
-        if not core or not (core is chunk or core.isalpha()) or not (core.isascii() or max(core) <= "\xff"):
-            return "", ""
-        return core.lower(), chunk[len(core) :]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Take up chunks. Their new runs of letters are encoded as one text; an id that ends a run shows where it stops."""
-        if len(self) > CHUNKS:
-            self.clear()
-            self[""] = b""
-        if len(self.cores) > CORES:
-            self.cores.clear()
-        cores = self.cores
-        split = [(c, *self.parts(c)) for c in chunks]
-        new = list({low for _, low, _ in split if low and low not in cores})
-        if len(new) > 1:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u2")
-            ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
-            if len(ends) == len(new) and ends[-1] == 2 * len(ids):
-                raw = ids.tobytes()
-                cores.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        for chunk, low, tail in split:
-            self[chunk] = self.plain(chunk) if not low else self.plain(low) + self.plain(tail) if tail else self.plain(low)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """Ids of a text; of null: none."""
-        if not text:
-            return np.zeros(0, dtype="<u2")
-        chunks = text.replace("\n", " ").split(" ")
-        out = list(map(self.get, chunks))
-        if None in out:
-            missing = {c for c, x in zip(chunks, out, strict=True) if x is None}
-            self.learn(missing)
-            kept = {c: self[c] for c in missing}
-            out = [kept[c] if x is None else x for c, x in zip(chunks, out, strict=True)]
-        return np.frombuffer(b"".join(out), dtype="<u2")
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -161,21 +73,34 @@ class Shard:
 _FILES = "part int, first bigint, n_tokens bigint, file binary"
 
 
+def _encoded(docs: DataFrame, key: str, text: str, end: int, file: str) -> DataFrame:
+    """(id, ids as uint16 bytes with the end id) of every row."""
+    base = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    tail = np.array([end], dtype="<u2").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(file)
+        for b in batches:
+            ids = [x.tobytes() + tail for x in enc.encode(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
+
+    return base.mapInArrow(released(run), "id bigint, ids binary")
+
+
 def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = END, tokenizer: str | None = None) -> None:
     """Encode docs in ascending order of key and write the shards' files to path.
 
-    Null texts are empty documents (the end id alone); null keys come first; an empty table writes no shard. The range
-    partitioner spreads equal numbers of keys; a shard starts anew with each partition.
+    Null texts are empty documents (the end id alone); null keys come first; an empty table writes no shard. Texts are
+    encoded where they lie, and only their ids are shuffled. The range partitioner spreads equal numbers of rows: a hash of
+    the ids is the second key, so rows of one key, or of none, may take several partitions. A shard starts anew with each.
     """
     spark = tune(docs.sparkSession)
-    file = tokenizer or tokenizer_path()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    dealt = base.repartitionByRange(n, "id").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
-    tail = np.array([end], dtype="<u2")
+    coded = written(_encoded(docs, key, text, end, tokenizer or tokenizer_path()), "token-ids", "zstd")
+    salted = coded.withColumn("salt", F.xxhash64("ids"))
+    dealt = salted.repartitionByRange(n, "id", "salt").sortWithinPartitions("id", "salt").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file)
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
         held = first = part = 0
@@ -187,8 +112,8 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
             return out
 
         for b in batches:
-            for i, t, p in zip(b.column("id").to_pylist(), b.column("text"), b.column("part").to_pylist(), strict=True):
-                x = np.concatenate((enc.ids(t.as_py()), tail))
+            for i, x, p in zip(b.column("id").to_pylist(), b.column("ids").to_pylist(), b.column("part").to_pylist(), strict=True):
+                x = np.frombuffer(x, dtype="<u2")
                 if ids and held + len(x) > SHARD_TOKENS:
                     yield shard()
                 part = p
@@ -198,7 +123,8 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
         if ids:
             yield shard()
 
-    dealt.mapInArrow(run, _FILES).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(released(run), _FILES).write.option("compression", "zstd").parquet(path)
+    forget(coded)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -221,7 +147,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                     names=["part", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    rows = files.mapInArrow(run, "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = files.mapInArrow(released(run), "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

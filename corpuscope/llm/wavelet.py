@@ -1,8 +1,9 @@
 """Wavelet matrix over unsigned integers: bit-planes with rank directories, in NumPy.
 
 Bit-plane l holds bit l (from the top) of every symbol in the order that stable partitions by the planes above left.
-A plane is a bit array in 64-bit words and the number of ones before each block of BLOCK bits; rank adds the popcounts
-of at most BLOCK / 64 words to a directory entry.
+A plane is a bit array in 64-bit words with a directory of two levels: the ones before each block of BLOCK bits (kept in
+the file) and, made when first asked for, the ones before each word within its block in 16 bits. Rank adds both and a
+popcount; the directories take 5/16 of the plane's bits.
 """
 
 from __future__ import annotations
@@ -28,43 +29,53 @@ def _words(bits: np.ndarray) -> np.ndarray:
 
 def _directory(words: np.ndarray) -> np.ndarray:
     ones = np.bitwise_count(words).reshape(-1, _WORDS).sum(axis=1, dtype=np.int64)
-    return np.concatenate(([0], np.cumsum(ones)[:-1]))
+    before = np.cumsum(ones) - ones
+    return before.astype(np.uint32 if len(words) << 6 < 1 << 32 else np.int64)
 
 
 class WaveletMatrix:
     """Access, rank and occurrence lookup over n symbols of `levels` bits; queries take arrays of positions."""
 
-    def __init__(self, n: int, levels: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, levels: int, planes: list[np.ndarray], zeros: list[int], blocks: list[np.ndarray] | None = None):
         self.n, self.levels, self.planes, self.zeros = n, levels, planes, zeros
-        self._per_word: list[np.ndarray] | None = None
+        self._blocks = blocks
+        self._inner: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, symbols: np.ndarray, levels: int) -> WaveletMatrix:
         a = np.ascontiguousarray(symbols, dtype=np.uint16 if levels <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(levels):
-            bit = ((a >> np.asarray(levels - 1 - level, dtype=a.dtype)) & 1).astype(bool)
+            bit = (a & np.asarray(1 << (levels - 1 - level), dtype=a.dtype)) != 0
             planes.append(_words(bit.view(np.uint8)))
-            low = a[~bit]
+            low = np.flatnonzero(~bit)
             zeros.append(len(low))
-            a = np.concatenate((low, a[bit]))
+            a = np.concatenate((a.take(low), a.take(np.flatnonzero(bit))))
         return cls(len(symbols), levels, planes, zeros)
 
     # -- queries -------------------------------------------------------------------------------------------------
 
-    def _counts(self) -> list[np.ndarray]:
-        """Ones before each word, from the block directory and the words in the block."""
-        if self._per_word is None:
-            self._per_word = []
+    @property
+    def blocks(self) -> list[np.ndarray]:
+        """Ones before each block, by plane."""
+        if self._blocks is None:
+            self._blocks = [_directory(w) for w in self.planes]
+        return self._blocks
+
+    @property
+    def inner(self) -> list[np.ndarray]:
+        """Ones before each word within its block, by plane: blocks x words."""
+        if self._inner is None:
+            self._inner = []
             for w in self.planes:
-                c = np.cumsum(np.bitwise_count(w), dtype=np.int64)
-                self._per_word.append(np.concatenate(([0], c[:-1])))
-        return self._per_word
+                ones = np.bitwise_count(w).reshape(-1, _WORDS).astype(np.uint16)
+                self._inner.append(np.cumsum(ones, axis=1, dtype=np.uint16) - ones)
+        return self._inner
 
     def _rank1(self, level: int, i: np.ndarray) -> np.ndarray:
         w = i >> 6
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self._counts()[level][w] + np.bitwise_count(self.planes[level][w] & mask)
+        return self.blocks[level][i // BLOCK] + self.inner[level].reshape(-1)[w] + np.bitwise_count(self.planes[level][w] & mask)
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of symbol[k] before position i[k]."""
@@ -110,11 +121,17 @@ class WaveletMatrix:
         return at
 
     def _select_bit(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
-        ones = self._counts()[level]
-        before = ones if bit else np.arange(len(ones), dtype=np.int64) * 64 - ones
-        w = np.searchsorted(before, k, side="right") - 1
+        ones, inner = self.blocks[level].astype(np.int64), self.inner[level]
+        before = ones if bit else np.arange(len(ones), dtype=np.int64) * BLOCK - ones
+        block = np.searchsorted(before, k, side="right") - 1
+        left = k - before[block]
+        within = inner[block].astype(np.int64)
+        if not bit:
+            within = np.arange(_WORDS, dtype=np.int64) * 64 - within
+        place = (within <= left[:, None]).sum(axis=1) - 1
+        left = left - np.take_along_axis(within, place[:, None], axis=1)[:, 0]
+        w = block * _WORDS + place
         word = self.planes[level][w] if bit else ~self.planes[level][w]
-        left = k - before[w]
         at = np.zeros_like(left)
         for step in (32, 16, 8, 4, 2, 1):
             low = word & np.uint64((1 << step) - 1)
@@ -133,8 +150,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(a)
             z = self.zeros[level]
-            up[~bit] = a[:z]
-            up[bit] = a[z:] | np.asarray(1 << (self.levels - 1 - level), dtype=kind)
+            up[np.flatnonzero(~bit)] = a[:z]
+            up[np.flatnonzero(bit)] = a[z:] | np.asarray(1 << (self.levels - 1 - level), dtype=kind)
             a = up
         return a
 
@@ -143,8 +160,8 @@ class WaveletMatrix:
     def to_bytes(self) -> bytes:
         """MAGIC, n, levels, then per plane: zeros, the rank directory (deflated differences), the words."""
         parts = [MAGIC, struct.pack("<QI", self.n, self.levels)]
-        for words, z in zip(self.planes, self.zeros, strict=True):
-            steps = zlib.compress(np.diff(_directory(words), prepend=0).astype("<u2").tobytes(), 1)
+        for words, blocks, z in zip(self.planes, self.blocks, self.zeros, strict=True):
+            steps = zlib.compress(np.diff(blocks.astype(np.int64), prepend=0).astype("<u2").tobytes(), 1)
             body = words.astype("<u8").tobytes()
             parts += [struct.pack("<QII", z, len(steps), len(body)), steps, body]
         return b"".join(parts)
@@ -155,15 +172,16 @@ class WaveletMatrix:
         if blob[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
         n, levels = struct.unpack_from("<QI", blob, 4)
-        at, planes, zeros = 16, [], []
+        at, planes, zeros, blocks = 16, [], [], []
         for _ in range(levels):
             z, n_steps, n_body = struct.unpack_from("<QII", blob, at)
             at += 16
             steps = np.cumsum(np.frombuffer(zlib.decompress(blob[at : at + n_steps]), dtype="<u2").astype(np.int64))
             words = np.frombuffer(blob, dtype="<u8", count=n_body // 8, offset=at + n_steps)
-            if not np.array_equal(steps, _directory(words)) or n - z != int(np.bitwise_count(words).sum()):
+            if not np.array_equal(steps, _directory(words).astype(np.int64)) or n - z != int(np.bitwise_count(words).sum()):
                 raise ValueError("rank directory and bit-plane differ")
             at += n_steps + n_body
             planes.append(words)
             zeros.append(z)
-        return cls(n, levels, planes, zeros)
+            blocks.append(steps.astype(np.uint32 if n < 1 << 32 else np.int64))
+        return cls(n, levels, planes, zeros, blocks)
