@@ -3,8 +3,7 @@
 Pieces go to shards by hash. In a shard, lengths above capacity / SMALL are sorted and cut into equal-cardinality groups,
 each rounded up to its largest; a linear program over configurations of these few sizes (columns generated by a
 knapsack) gives the number of bins of each configuration; actual pieces take their groups' places; what rounding leaves
-over goes by best fit, and so do the small pieces at last. Plain best fit decreasing runs too and the better packing of
-the shard stays.
+over goes by best fit, and so do the small pieces at last. Configurations leave each bin its share of the small pieces.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ END = 1
 SHARD_PIECES = 1 << 15
 GROUPS = 48
 SMALL = 8
+#: Parts of the small pieces' share of a bin that configurations leave to them, in the order in which they are tried.
+RESERVES = (1.0, 0.75, 0.5, 0.25, 0.0)
 
 
 class _Bins:
@@ -58,14 +59,6 @@ class _Bins:
         return number
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    bins = _Bins(capacity)
-    out = np.zeros(len(lengths), dtype=np.int64)
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        out[i] = bins.best_fit(int(lengths[i]))
-    return out, bins.n
-
-
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
     """Most valuable multiset of sizes (all above capacity / SMALL) within capacity, as counts."""
     best = np.zeros(capacity + 1)
@@ -98,8 +91,14 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACI
     """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
+    good = basis.copy()
     for _ in range(40 * m):
-        dual = np.linalg.solve(basis.T, np.ones(m))
+        try:
+            dual = np.linalg.solve(basis.T, np.ones(m))
+        except np.linalg.LinAlgError:  # rounding made the basis singular: the last one that was not
+            basis = good
+            break
+        good = basis.copy()
         column = _knapsack(sizes, dual, capacity).astype(float)
         if column @ dual <= 1 + 1e-7:
             break
@@ -113,16 +112,16 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACI
     return [(basis[:, j].astype(np.int64), int(x[j] + 1e-6)) for j in range(m) if x[j] >= 1 - 1e-6]
 
 
-def linear_grouping(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
-    """Bin of every length, and the number of bins."""
+def linear_grouping(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, reserve: int = 0) -> tuple[np.ndarray, int]:
+    """Bin of every length, and the number of bins; configurations leave `reserve` of the capacity to small pieces."""
     out = np.full(len(lengths), -1, dtype=np.int64)
     bins = _Bins(capacity)
     order = np.argsort(-lengths, kind="stable")
     large = order[lengths[order] > capacity // SMALL]
-    whole = large[lengths[large] > capacity - 1]  # a full piece is a bin
-    for i in whole.tolist():
+    alone = large[lengths[large] > capacity - reserve - 1]
+    for i in alone.tolist():
         out[i] = bins.new(capacity - int(lengths[i]))
-    large = large[len(whole) :]
+    large = large[len(alone) :]
     if len(large):
         parts = [p for p in np.array_split(large, min(groups, len(large))) if len(p)]
         sizes: list[int] = []
@@ -134,7 +133,7 @@ def linear_grouping(lengths: np.ndarray, capacity: int = CAPACITY, groups: int =
             else:
                 sizes.append(top)
                 pool.append(p.tolist())
-        for counts, n in configurations(np.array(sizes), np.array([len(p) for p in pool]), capacity):
+        for counts, n in configurations(np.array(sizes), np.array([len(p) for p in pool]), capacity - reserve):
             for _ in range(n):
                 taken = [pool[g].pop() for g in np.repeat(np.arange(len(sizes)), counts).tolist() if pool[g]]
                 if taken:
@@ -148,12 +147,22 @@ def linear_grouping(lengths: np.ndarray, capacity: int = CAPACITY, groups: int =
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Bin of every length (1 to capacity): linear grouping, or best fit decreasing where that takes fewer bins."""
-    a, n = linear_grouping(lengths, capacity)
-    if n * capacity - int(lengths.sum()) < capacity:
-        return a
-    b, k = best_fit_decreasing(lengths, capacity)
-    return b if k < n else a
+    """Bin of every length (1 to capacity) by linear grouping.
+
+    Where small pieces have the volume, configurations need not be full: they leave each bin its share of the small ones,
+    or a part of it. The best of RESERVES stays; none is tried after one that reaches the least number of bins.
+    """
+    total = int(lengths.sum())
+    least = -(-total // capacity)
+    share = int(lengths[lengths <= capacity // SMALL].sum()) // max(1, least)
+    best, most = np.zeros(0, dtype=np.int64), len(lengths) + 1
+    for reserve in dict.fromkeys(min(int(part * share), capacity // 2) for part in RESERVES):
+        number, n = linear_grouping(lengths, capacity, reserve=reserve)
+        if n < most:
+            best, most = number, n
+        if n <= least:
+            break
+    return best
 
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
