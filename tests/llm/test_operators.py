@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corpuscope.llm import decontam, html_text, langid, license_scan, near_dup, packing, token_files, toxicity, vector_dup, warc
+from corpuscope.llm import decontam, encoder, grammar, html_text, langid, license_scan, near_dup, packing, token_files, toxicity, vector_dup, warc
 from corpuscope.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -196,13 +196,22 @@ def test_language(spark):
 def plain_encoder():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(token_files.tokenizer_path())
+    return Tokenizer.from_file(encoder.tokenizer_path())
 
 
-def test_chunks_encode_as_whole_texts(plain_encoder):
-    e = token_files.Encoder(token_files.tokenizer_path())
-    for t in ("ÉCOLE. d's, İ; ok.. 'll", "<|endoftext|>. x", "Ａb ªº, fi ǅ", "a\tb\x1cq  z", "é ́e", "It's 12% of—it", prose(3, 500)):
-        assert e.ids(t).tolist() == plain_encoder.encode(t, add_special_tokens=False).ids
+def test_words_encode_as_whole_texts(plain_encoder, monkeypatch):
+    r = random.Random(12)
+    odd = ["ÉCOLE. d's, İ; ok.. 'll", "<|endoftext|>. x", "Ａb ªº, fi ǅ", "a\tb\x1cq  z", "é ́e", "It's 12% of—it", prose(3, 500), "", None]
+    marks = [" ", "\n", "\x1c", "\x85", "\xa0", "'", "'s", "'RE", "'LL", "É", "ß", "ª", "²", "½", "7", "..", "<|", "|>", "×", "中", "e\u0301", "İ", "Σ", "\u200b", "\x00", "Ⅷ", "a", "Bc"]
+    odd += ["".join(r.choice(marks) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    monkeypatch.setattr(encoder, "JOINED", 7)
+    monkeypatch.setattr(encoder, "WINDOW", 50)
+    monkeypatch.setattr(encoder, "KEPT_BYTES", 5000)
+    e = encoder.Encoder(encoder.tokenizer_path(), slots=512)
+    got = [x for i in range(0, len(odd), 40) for x in e.encode(odd[i : i + 40])]
+    for t, x in zip(odd, got, strict=True):
+        assert x.tolist() == (plain_encoder.encode(t, add_special_tokens=False).ids if t else [])
+    assert e.slots <= 2048 and e.taken <= 1300
 
 
 def test_token_files(spark, tmp_path, plain_encoder, monkeypatch):
@@ -229,27 +238,44 @@ def test_token_files(spark, tmp_path, plain_encoder, monkeypatch):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
-def test_packing(spark):
-    out = packing.pack_documents(docs(spark, [*ODD, *[(100 + i, prose(i, 40 * (i % 37) + 1)) for i in range(200)]])).toPandas()
+def test_packing(spark, plain_encoder):
+    rows = [*ODD, *[(100 + i, prose(i, 40 * (i % 37) + 1)) for i in range(200)]]
+    out = packing.pack_documents(docs(spark, rows)).toPandas()
     for _, g in out.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g["length"].sum() <= 4096 and g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist()
-    assert out["sequence_id"].nunique() <= out["length"].sum() // 4096 + 2
-    assert (out[out["doc_id"] == 1]["length"] == 1).all() and len(out[out["doc_id"] == 5]) > 5
+    assert out["sequence_id"].nunique() <= 1.04 * out["length"].sum() / 4096 + 2
+    want = []
+    for i, t in rows:
+        ids = [*(plain_encoder.encode(t, add_special_tokens=False).ids if t else []), 1]
+        want += [(i, k, at, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 4096)) for part in [ids[at : at + 4096]]]
+    got = packing.pieces(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def fewest_by_best_fit(lengths):
+    bins = packing._Bins(4096)
+    for n in sorted(lengths.tolist(), reverse=True):
+        bins.best_fit(n)
+    return bins.n
+
+
 def test_linear_grouping_is_near_the_optimum():
     r = np.random.default_rng(1)
-    for low, high in ((1, 4096), (1100, 2900), (600, 1400), (4096, 4097)):
+    for low, high in ((1, 4096), (1100, 2900), (600, 1400), (4096, 4097), (1, 2)):
         lengths = r.integers(low, high, 3000)
         number, n = packing.linear_grouping(lengths)
         assert np.bincount(number, weights=lengths).max() <= 4096 and n == number.max() + 1
-        assert n <= 1.08 * packing.best_fit_decreasing(lengths)[1] + 2
-        assert packing.pack(lengths).max() + 1 <= packing.best_fit_decreasing(lengths)[1]
+        assert packing.pack(lengths).max() + 1 <= 1.04 * fewest_by_best_fit(lengths) + 1
     assert len(packing.pack(np.zeros(0, dtype=np.int64))) == 0
 
 
+def test_grouping_alone_packs_documents_to_the_least(spark):
+    lengths = np.array([r["length"] for r in packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("length").collect()])
+    assert packing.pack(lengths).max() + 1 <= 1.01 * -(-lengths.sum() // 4096)
+
+
 def test_licenses():
     t = license_scan.Templates()
     mit = license_scan.TEMPLATES[4][1]
@@ -345,8 +371,9 @@ def test_toxicity(spark):
     assert len(out) == 200 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out.values())
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in out.items())
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    grammar = toxicity.learn(d, labels)
-    odd = toxicity.score(docs(spark, [*ODD, (50, "You are an idiot and a clown, idiot. You moron, worthless trash!")]), grammar).collect()
+    learned = toxicity.learn(d, labels)
+    assert toxicity.score(docs(spark, []), learned).count() == 0
+    odd = toxicity.score(docs(spark, [*ODD, (50, "You are an idiot and a clown, idiot. You moron, worthless trash!")]), learned).collect()
     by = {r["doc_id"]: r["score"] for r in odd}
     assert by[50] >= 0.5 and max(by[i] for i in (1, 2, 3, 4, 5)) < 0.5
     none = toxicity.learn(d, labels.where("toxic = 0"))
@@ -354,8 +381,56 @@ def test_toxicity(spark):
 
 
 def test_clause_grammar():
-    lexicon = toxicity.Lexicon(entries={"idiot": 2.0}, starts={"zorg": 1.0})
-    kinds = lambda t: [k for k, _ in toxicity.clauses(toxicity._WORDS.findall(t.lower()), lexicon)[1]]
-    assert kinds("What an idiot.") == [toxicity.PLAIN]
-    assert kinds("You idiot! He said idiot. Not an idiot.") == [toxicity.AIMED, toxicity.REPORTED, toxicity.NEGATED]
-    assert kinds("zorgling; zorg kill you") == [toxicity.PLAIN, toxicity.AIMED]
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "weak": 1.0}, {"zorg": 1.0}, {"kill": 3.0})
+    kinds = lambda t: [k for clause in toxicity.matches(t, lexicon)[0] for k, _, _ in clause]
+    assert kinds("What an idiot.") == ["insult:plain"]
+    assert kinds("You idiot! He said idiot. Not an idiot. It is not such a very big idiot.") == ["insult:aimed", "insult:reported", "insult:negated", "insult:plain"]
+    assert kinds("zorgling; zorg kill you") == ["insult:plain", "threat:aimed"]
+    assert kinds("an idiot, you are") == ["insult:aimed"] and kinds("not weak") == [] and kinds("") == []
+    weight = lambda t: sum(w for clause in toxicity.matches(t, lexicon)[0] for _, w, _ in clause)
+    assert weight("you idiot") > weight("idiot") > weight("quoted: idiot") > weight("never idiot")
+
+
+def all_paths(machines, symbols):
+    """Weights of all readings of symbols by machines one after the other, with what is written at last."""
+    rows = {(tuple(symbols), 0.0)}
+    for m in machines:
+        now = set()
+        for row, w in rows:
+            paths = [(m.start, (), w)]
+            for s in row:
+                paths = [(t, (*out, write), v + more) for state, out, v in paths for write, more, t in m.arcs.get(state, {}).get(s, ())]
+            now |= {(out, v + m.final[state]) for state, out, v in paths if state in m.final}
+        rows = now
+    return rows
+
+
+def test_composition_by_all_paths():
+    r = random.Random(9)
+    stages = grammar.stages()
+    words = {"w": [("other", 0.0)], "you": [("target", 0.0)], "not": [("negation", 0.0)], "said": [("report", 0.0)], "kill": [("threat", 1.5), ("other", 0.0)], "fool": [("insult", 3.0), ("other", 0.0)], "both": [("insult", 0.25), ("threat", 0.5), ("target", 0.0)]}
+    for _ in range(400):
+        clause = [r.choice(list(words)) for _ in range(r.randint(0, 6))]
+        every = [(c, w) for w in clause for c in [words[w]]]
+        readings = [()]
+        for options, _ in every:
+            readings = [(*x, o) for x in readings for o in options]
+        best = max(sum(w for _, w in x) + v for x in readings for _, v in all_paths(stages, [c for c, _ in x]))
+        before, row = 0, []
+        for w in clause:  # others count as a gap
+            if w == "w":
+                before += 1
+            else:
+                row.append((before, w))
+                before = 0
+        got, found = grammar.read_clause(row, words.__getitem__)
+        assert got == pytest.approx(best) and sum(w for _, w, _ in found) == pytest.approx(best)
+        assert all(len(all_paths(stages, [c for c, _ in x])) == 1 for x in readings)  # one reading for each row of classes
+
+
+def test_toxicity_of_held_out_documents(spark):
+    docs_, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_query(spark, "/root/testdata/sf0.1").where("held_out").collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.join(docs_, "doc_id", "left_semi").collect() if r["doc_id"] in out}
+    toxic = [i for i, y in truth.items() if y == 1]
+    assert sum(out[i] for i in toxic) >= 0.85 * len(toxic) and sum(out[i] for i, y in truth.items() if y == 0) <= 0.01 * len(truth)
