@@ -20,8 +20,8 @@ def _kept(docs: DataFrame, names: list[str]) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents of score 0.5 or more; the grammar is learned from the labelled ones among docs."""
-    grammar = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(toxicity.score(docs, grammar).where("score < 0.5"), docs.columns)
+    learned = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _kept(toxicity.score(docs, learned).where("score < 0.5"), docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
