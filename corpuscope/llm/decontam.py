@@ -22,6 +22,8 @@ from corpuscope.llm.wavelet import WaveletMatrix
 WINDOW = 13
 SHARD_WORDS = 600_000
 SAMPLE = 8
+#: Rows, and bytes of rows, that a task holds back until their shard is searched.
+HELD_ROWS, HELD_BYTES = 1 << 14, 32 << 20
 #: Bytes of benchmark text whose vocabulary and windows are sent to the executors at once; more go in several passes.
 BLOCK_BYTES = 8 << 20
 
@@ -234,7 +236,7 @@ def _scan(phrases: Phrases, text: str, window: int, out_schema: pa.Schema):
                         total = 0
             if not pieces:
                 yield from rows()
-            elif sum(b.num_rows for b, _ in held) >= 64 * 256:  # many short texts: a shard of its own
+            elif sum(b.num_rows for b, _ in held) >= HELD_ROWS or sum(b.nbytes for b, _ in held) >= HELD_BYTES:  # a shard of its own
                 flush(batch, pieces, found)
                 total = 0
                 yield from rows()

@@ -9,6 +9,7 @@ language. Texts are scored in batches by matrix products of presence rows, landm
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +26,14 @@ D = 1 << BITS
 #: Training rows of each language, about (the bound of the sample), and landmarks of each.
 TRAIN_ROWS = 240
 LANDMARKS = 24
-#: Languages that are learned at most: those with most labelled rows.
-LANGUAGES = 64
 RIDGE = 1e-2
 #: Turns regression values into a distribution.
 SHARPNESS = 6.0
 UNKNOWN = "und"
 
-_OTHERS = re.compile(r"[\W\d_]+")
+# \w also holds numerals that are no letters
+_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 _SCALE = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -112,7 +113,7 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> KernelModel:
     """
     tune(docs.sparkSession)
     own = docs.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull())
-    seen = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    seen = own.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not seen:
         return KernelModel([], np.zeros(0, int), np.zeros((0, 0)), np.zeros(0), np.zeros((1, 0)))
     share = F.lit(0.0)
@@ -139,8 +140,8 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> KernelModel:
 def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
     """docs with lang_pred (a learned language; "und" for null texts and texts without a letter) and score (0 to 1).
 
-    Whole texts count; "und" has score 0; repeated rows get equal results; ties go to the first language by name.
-    Columns named as the new ones are replaced.
+    Whole texts count; "und" has score 0; repeated rows get equal results; ties go to the first language by name; an empty
+    table gives an empty one. Columns named as the new ones are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

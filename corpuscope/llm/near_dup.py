@@ -24,7 +24,9 @@ BINS = 128
 ROWS = 6
 #: Pairs whose signatures agree on a smaller share are not confirmed: at a true share of 0.85 that is four deviations off.
 SLACK = 4.0
+#: Documents of a bucket, and bytes of their sets, that are compared as one block.
 BLOCK = 1024
+BLOCK_BYTES = 32 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -124,8 +126,9 @@ def _sets(text: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for b in batches:
-            blobs = [shingles(t.as_py(), hashes).tobytes() for t in b.column(text)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(blobs, pa.binary())], schema=schema)
+            sets = [shingles(t.as_py(), hashes) for t in b.column(text)]
+            sums = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sums, pa.int64())], schema=schema)
 
     return run
 
@@ -257,8 +260,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
 
     component_id: smallest key that links reach, itself included; kept: key = component_id. A null, empty or blank text
     has no shingles and links with nothing (its key is its component). A row of null key links with nothing: its
-    component is null and it is kept. Repeated rows of one key get the same component each. An empty table
-    gives an empty one; other columns are not read, so their names cannot clash. Bands have `rows` bins: a pair of
+    component is null and it is kept. Repeated rows of one key are one document and get the same component each, also
+    where their texts differ: links of any of them count. Ties go to the smallest key. An empty table gives an empty one; other columns are not read, so their names cannot clash. Bands have `rows` bins: a pair of
     similarity s meets in no bucket with a chance of (1 - s ** rows) ** (BINS // rows).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -278,8 +281,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     reps = some.join(classes.where("m > 1").select(F.col("rep").alias("id"), "n", "ha", "hb"), ["id", "n", "ha", "hb"], "left_semi").unionByName(
         some.join(classes.where("m = 1").select("n", "ha", "hb"), ["n", "ha", "hb"], "left_semi")
     )
-    reps = written(reps.dropDuplicates(["id"]).select("id", "keys", "sig"), "reps")
-    keyed = reps.select("id", F.explode("keys").alias("bucket"))
+    reps = written(reps.dropDuplicates(["id", "n", "ha", "hb"]).select("id", "n", "keys", "sig"), "reps")
+    keyed = reps.select("id", "n", F.explode("keys").alias("bucket"))
     full = written(keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("m")).where("m > 1"), "buckets")
     inside = written(keyed.join(full, "bucket"), "bucketed")
     stars = inside.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
@@ -301,25 +304,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     def full_sets(nodes: DataFrame, name: str) -> DataFrame:
         """Sets of the documents in nodes (id), made again from their texts."""
         nodes = written(nodes.distinct(), name + "-nodes")
-        ddl = StructType.fromDDL("id bigint, s binary")
+        ddl = StructType.fromDDL("id bigint, s binary, h bigint")
         texts = base.where("id is not null and text is not null").join(nodes, "id", "left_semi")
-        return written(texts.mapInArrow(released(_sets("text", to_arrow_schema(ddl))), ddl).dropDuplicates(["id"]), name + "-sets")
+        return written(texts.mapInArrow(released(_sets("text", to_arrow_schema(ddl))), ddl).dropDuplicates(["id", "h"]).drop("h"), name + "-sets")
 
     pairs = written(close(stars), "stars")
     sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "stars")
     two = pairs.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").select("a", "b", "sa", "sb")
-    links = written(two.mapInArrow(released(_confirm(num, den)), "a bigint, b bigint"), "stars-links")
+    # a key of several texts is one document: its classes are linked
+    several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a != hi").select("id", "a")
+    several = member.join(several, "id").where("rep != a").select("a", F.col("rep").alias("b"))
+    links = written(two.mapInArrow(released(_confirm(num, den)), "a bigint, b bigint").unionByName(several).distinct(), "stars-links")
     root = components(links, "cc1")
 
     # what the stars leave open: buckets that hold more than one component
-    labelled = inside.join(root.withColumnsRenamed({"node": "id"}), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    labelled = inside.join(root.withColumnsRenamed({"node": "id"}), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
     labelled = written(labelled, "labelled")
-    opened = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    opened = written(opened.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "open")
+    opened = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("size")).where("lo != hi")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("size") / BLOCK_BYTES))
+    opened = written(opened.select("bucket", blocks.cast("int").alias("nb")), "open")
     parts = labelled.join(opened, "bucket").withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     parts = parts.select("bucket", "id", "root", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.when((F.col("k") <= F.col("o")), 0).otherwise(1).alias("side"))
-    parts = parts.join(reps, "id").select("bucket", "i", "j", "side", "id", "root", "keys", "sig")
+    parts = parts.join(reps.drop("n"), "id").select("bucket", "i", "j", "side", "id", "root", "keys", "sig")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = "bucket bigint, i int, j int, side int, id bigint, root bigint, keys array<bigint>, sig binary"
 

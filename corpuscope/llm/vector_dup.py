@@ -2,9 +2,10 @@
 
 Equal vectors are one class. Classes go to the shards of their OVERLAP nearest centres, large clusters in several
 shards by hash. In each shard a graph is built: every vector's nearest candidates, pruned robustly (a neighbour goes if one
-kept before is ALPHA times closer to it), with edges back. A vector's adjacency lists from its shards are united. Every
-vector is then searched in its clusters' shards: greedy best-first from medoids until the beam settles, and as long
-as vectors in range turn up, the range expands through their neighbours. Links are confirmed in double precision and
+kept before is ALPHA times closer to it), with edges back. A vector's adjacency lists from its shards are united to
+one flat graph. Every vector is then searched in it, a shard of queries at a time: a task holds its shard and, with their
+lists, the vectors that united edges lead to outside of it. The search is greedy best-first from medoids until the beam
+settles, and as long as vectors in range turn up, the range expands through their neighbours. Links are confirmed in double precision and
 counted in the one shard that is first for both. A sample drawn by hash, whatever was found, is compared with all vectors
 and audits the recall; where the last overlap still falls short, all vectors are compared block by block instead.
 """
@@ -40,6 +41,8 @@ AUDIT_MOST = 16_384
 #: Vectors of at most so many links are judged apart from those of dense groups.
 FEW = 8
 RECALL = 0.9
+#: Rows of a search task: vectors of its shard, queries of another shard of its cluster, vectors outside that edges lead to.
+HELD, ASKED, OUTSIDE = range(3)
 #: Vectors that the comparison of all sends at a time.
 EXACT_BLOCK = 16_384
 
@@ -200,6 +203,13 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _matrix(rows: DataFrame) -> np.ndarray:
+    """Unit rows of a bounded table's vectors (v), sent to the driver as Arrow."""
+    column = rows.select("v").toArrow().column("v").combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _valid(vector: str):
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.coalesce(F.col(vector).isNotNull() & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
@@ -208,30 +218,44 @@ def _valid(vector: str):
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
     """(key, n_links, component_id, kept) of every row; links are other rows with cosine >= least, in double precision.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors of another
-    length than the commonest. Equal vectors are linked with each other and share their links. Repeated keys count as
-    rows of their own but share a component. An empty table gives an empty one; other columns are not read.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths do
+    not link, those of each length are searched by themselves. Ties in similarity change no link. Equal vectors are linked with each other and share their links. Repeated keys count as
+    rows of their own but share a component; rows of null key link with nothing, have a null component and are kept. An empty table gives an empty one; other columns are not read.
     The recall audit compares a sample with all vectors; below RECALL the search runs again with more overlap, and after
     the last one all vectors are compared with all.
     """
     spark = tune(table.sparkSession)
     base = table.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     base = base.withColumn("ok", _valid("v") & F.col("id").isNotNull())
-    sizes = base.where("ok").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 0
-    base = base.withColumn("ok", F.col("ok") & (F.size("v") == dim)).withColumn("h", F.when(F.col("ok"), F.xxhash64("v")))
+    base = base.withColumn("h", F.when(F.col("ok"), F.xxhash64("v")))
     classes = base.where("ok").groupBy("h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     classes = written(classes, "vec-classes")
-    n = classes.count()
-    if not n:
+    found = [_linked(classes.where(F.size("v") == r["d"]), r["n"], overlap, least) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()]
+    if not found:
         return table.select(F.col(f"`{key}`"), F.lit(0).cast("bigint").alias("n_links"), F.col(f"`{key}`").cast("bigint").alias("component_id"), F.coalesce(F.col(f"`{key}`").isNotNull(), F.lit(True)).alias("kept"))
+    counts, stars = found[0]
+    for more in found[1:]:
+        counts, stars = counts.unionByName(more[0]), stars.unionByName(more[1])
+    # rows of one key are one document, so the classes that hold it are joined
+    twice = base.where("ok").groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("id")
+    twice = base.where("ok").join(twice, "id").join(classes.select("h", "v", "rep"), ["h", "v"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    root = components(stars.unionByName(twice), "vec-cc")
+    member = classes.select("h", "v", "rep", "m").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
+    member = written(member.select("h", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "vec-member")
+    out = base.join(member, ["h", "v"], "left")
+    label = F.coalesce("root", "id")
+    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
+
 
+def _linked(classes: DataFrame, n: int, overlap: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links of n classes of vectors of one length: (id, links) with copies counted, and edges (a, b) that span what is linked."""
     k = max(1, min(CENTRES, -(-n // (SHARD // 2))))
     draw = F.pmod(F.xxhash64("rep", F.lit(41)), F.lit(1 << 24)) / float(1 << 24)
-    drawn = classes.where(draw < min(1.0, 2 * k * SAMPLE_PER_CENTRE / n)).orderBy("rep").limit(2 * k * SAMPLE_PER_CENTRE).select("v").collect()
+    drawn = classes.where(draw < min(1.0, 2 * k * SAMPLE_PER_CENTRE / n)).orderBy("rep").limit(2 * k * SAMPLE_PER_CENTRE)
+    drawn = _matrix(drawn)
     if len(drawn) < k:
-        drawn = classes.orderBy("rep").limit(k).select("v").collect()
-    centres = centres_of(unit_rows([r["v"] for r in drawn]), k)
+        drawn = _matrix(classes.orderBy("rep").limit(k))
+    centres = centres_of(drawn, k)
     for t in (overlap, 2 * overlap, 4 * overlap):
         counts, stars = _search(classes, centres, min(t, k), least)
         good = _audit(classes, counts, n, least) >= RECALL
@@ -239,12 +263,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
             break
     if not good:
         counts, stars = _compare_all(classes, n, least)
-    root = components(stars, "vec-cc")
-    member = classes.select("h", "v", "rep", "m").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
-    member = written(member.select("h", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "vec-member")
-    out = base.join(member, ["h", "v"], "left")
-    label = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
+    return counts, stars
 
 
 def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +275,7 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
             near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :overlap]
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("m"), b.column("v"), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["id", "m", "v", "own"])
 
-    placed = classes.select("rep", "m", "v").mapInArrow(released(assign), "id bigint, m bigint, v array<double>, own array<int>")
+    placed = written(classes.select("rep", "m", "v").mapInArrow(released(assign), "id bigint, m bigint, v array<double>, own array<int>"), "vec-placed")
     rows = placed.select("id", "m", "v", "own", F.explode("own").alias("c"))
     size = written(rows.groupBy("c").agg(F.count("*").alias("n")).select("c", F.ceil(F.col("n") / SHARD).cast("int").alias("parts")), "vec-sizes")
     rows = rows.join(F.broadcast(size), "c")  # one row a centre, CENTRES at most
@@ -271,36 +290,42 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
     union = written(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vec-graph")
 
     # blocks of queries against blocks of a cluster's graph: one of each for clusters of a shard
-    graph = rows.join(union, "id").select("id", "m", "v", "own", "near", "c", F.col("part").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.lit(True).alias("held"))
-    asks = rows.where("parts > 1").select("id", "m", "v", "own", F.array().cast("array<bigint>").alias("near"), "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g"), F.col("part").alias("q"), F.lit(False).alias("held"))
-    tasks = graph.unionByName(asks.where("g != q"))
+    graph = rows.join(union, "id").select("id", "m", "v", "own", "near", "c", F.col("part").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.lit(HELD).alias("kind"))
+    asks = rows.where("parts > 1").select("id", "m", "v", "own", F.array().cast("array<bigint>").alias("near"), "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g"), F.col("part").alias("q"), F.lit(ASKED).alias("kind"))
+    # where united edges lead out of a shard's cluster: those vectors with their lists
+    out_edges = rows.select("id", "c", "part").join(union, "id").select("c", F.col("part").alias("g"), F.explode("near").alias("id")).distinct()
+    whole = placed.join(union, "id")
+    halo = out_edges.join(whole, "id").where(~F.array_contains("own", F.col("c"))).select("id", "m", "v", "own", "near", "c", "g", F.col("g").alias("q"), F.lit(OUTSIDE).alias("kind"))
+    tasks = graph.unionByName(asks.where("g != q")).unionByName(halo)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, held = int(pdf["c"].iloc[0]), pdf["held"].to_numpy()
-        mine = pdf[held]
-        ids, m, x = mine["id"].to_numpy(), mine["m"].to_numpy(), unit_rows(mine["v"].tolist()) if held.any() else None
-        ask = mine if int(pdf["g"].iloc[0]) == int(pdf["q"].iloc[0]) else pdf[~held]
-        if x is None or not len(ask):
+        c, kind = int(pdf["c"].iloc[0]), pdf["kind"].to_numpy()
+        own_shard = int(pdf["g"].iloc[0]) == int(pdf["q"].iloc[0])
+        mine = pd.concat((pdf[kind == HELD], pdf[kind == OUTSIDE]))
+        ask = pdf[kind == (HELD if own_shard else ASKED)]
+        if not (kind == HELD).any() or not len(ask):
             return pd.DataFrame({"id": [], "links": [], "root": []})
+        ids, m, x = mine["id"].to_numpy(), mine["m"].to_numpy(), unit_rows(mine["v"].tolist())
         place = {i: k for k, i in enumerate(ids.tolist())}
         graph = _pad([np.array([place[i] for i in near if i in place], dtype=np.int32) for near in mine["near"]])
         asked, aown = ask["id"].to_numpy(), np.array(ask["own"].tolist(), dtype=np.int64)
         hown = np.array(mine["own"].tolist(), dtype=np.int64)
         links = np.zeros(len(ask), dtype=np.int64)
-        every = ids if ask is mine else np.concatenate((ids, asked))
+        every = ids if own_shard else np.concatenate((ids, asked))
         groups = Groups(len(every))
         for k, near in enumerate(range_search(x, graph, unit_rows(ask["v"].tolist()), least)):
             near = near[ids[near] != asked[k]]
             if len(near):
-                groups.join(k if ask is mine else len(ids) + k, near)
-                # the first cluster that both are in counts the pair
+                groups.join(k if own_shard else len(ids) + k, near)
+                # the first cluster that both are in counts the pair; where there is none, the one nearest to the query
                 both = (hown[near][:, :, None] == aown[k][None, None, :]).any(axis=2)
-                first = np.where(both, hown[near], np.iinfo(np.int64).max).min(axis=1) == c
+                first = np.where(both, hown[near], np.iinfo(np.int64).max).min(axis=1)
+                first = np.where(both.any(axis=1), first, aown[k][0]) == c
                 links[k] = int(m[near[first]].sum())
         least_id = np.full(len(every), np.iinfo(np.int64).max)
         label = groups.labels()
         np.minimum.at(least_id, label, every)
-        counted = links if ask is mine else np.concatenate((np.zeros(len(ids), dtype=np.int64), links))
+        counted = np.concatenate((links, np.zeros(len(ids) - len(links), dtype=np.int64)) if own_shard else (np.zeros(len(ids), dtype=np.int64), links))
         return pd.DataFrame({"id": every, "links": counted, "root": least_id[label]})
 
     got = written(tasks.groupBy("c", "g", "q").applyInPandas(search, "id bigint, links bigint, root bigint"), "vec-links")

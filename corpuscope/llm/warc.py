@@ -135,6 +135,7 @@ class MemberScan:
 
     def __init__(self) -> None:
         self.open = None
+        self.begin = b""
         self.parts: list[bytes] = []
         self.raw: list[bytes] = []
 
@@ -145,8 +146,9 @@ class MemberScan:
         except zlib.error:
             return False
         self.raw.append(data)
-        start = b"".join(self.parts[:2])[:5]
-        return b"WARC/".startswith(start) if len(start) < 5 else start == b"WARC/"
+        if len(self.begin) < 5:
+            self.begin = (self.begin + self.parts[-1][:5])[:5]
+        return b"WARC/".startswith(self.begin)
 
     def feed(self, stretch: bytes) -> list[tuple[bytes | None, bytes | None]]:
         """(a whole record's bytes, None) and (None, bytes that no member of this range owns) that the stretch settles."""
@@ -159,7 +161,7 @@ class MemberScan:
             pass
         else:
             return self._ended()
-        self.open, self.parts, self.raw = zlib.decompressobj(31), [], []
+        self.open, self.begin, self.parts, self.raw = zlib.decompressobj(31), b"", [], []
         if not self._go_on(data):
             self.open = None
             return [*out, (None, data)]

@@ -115,6 +115,8 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
     twice = near_dup.near_duplicates(docs(spark, [(9, "a b c d e f"), (9, "a b c d e f"), (None, "a b c d e f")])).collect()
     assert sorted(((x["doc_id"], x["component_id"], x["kept"]) for x in twice), key=repr) == [(9, 9, True), (9, 9, True), (None, None, True)]
+    unlike = near_dup.near_duplicates(docs(spark, [(9, "a b c d e f"), (9, "g h i j k l"), (7, "g h i j k l"), (8, "a b c d e f"), (10, "x y z u v w"), (11, "x y z u v w"), (11, None)])).collect()
+    assert {x["doc_id"]: x["component_id"] for x in unlike} == {7: 7, 8: 7, 9: 7, 10: 10, 11: 10} and [x["component_id"] for x in unlike].count(7) == 4
 
 
 def test_vectors(spark):
@@ -124,10 +126,11 @@ def test_vectors(spark):
     for k, b in enumerate(base):
         for j in range(30 if k == 0 else 6):
             rows.append((100 * k + j, (b + 0.08 * r.standard_normal(16)).tolist()))
+    rows += [(6000 + i, [float(i % 3), 1.0, 2.0]) for i in range(7)]  # vectors of another length
     rows += [(5000, rows[0][1]), (5001, None), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [1.0] * 3), (5005, [None] * 16)]
     got = {x["vec_id"]: x for x in vector_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    good = {i: np.array(v) for i, v in rows if i <= 5000}
-    cos = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    good = {i: np.array(v) for i, v in rows if i <= 5000 or i == 5004 or i >= 6000}
+    cos = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b)) if len(a) == len(b) else 0
     linked = [(a, b) for a in good for b in good if a < b and cos(good[a], good[b]) >= 0.9]
     want = brute_components([i for i, _ in rows], linked)
     assert {i: x["component_id"] for i, x in got.items()} == want
@@ -135,6 +138,28 @@ def test_vectors(spark):
     assert vector_dup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_search_crosses_shards(spark, monkeypatch):
+    """Pairs without a common cluster are found over united edges that leave the shard; none counts twice."""
+    monkeypatch.setattr(vector_dup, "SHARD", 128)
+    r = np.random.default_rng(8)
+    x = vector_dup.unit_rows((np.repeat(r.standard_normal((150, 6)), 8, axis=0) + 0.12 * r.standard_normal((1200, 6))).tolist())
+    classes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "rep long, m long, v array<double>")
+    true = (x @ x.T >= 0.9).sum(axis=1) - 1
+    centres = vector_dup.centres_of(x, 20)
+    counts, _ = vector_dup._search(classes, centres, 2, 0.9)
+    got = {y["id"]: y["links"] for y in counts.collect()}
+    assert all(got.get(i, 0) <= n for i, n in enumerate(true))
+    own = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :2]
+    together = (own[:, None, :, None] == own[None, :, None, :]).any(axis=(2, 3)) & (x @ x.T >= 0.9)
+    assert sum(got.values()) > together.sum() - len(x) and sum(got.values()) >= 0.97 * true.sum()
+
+
+def test_vectors_of_repeated_keys(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (None, [1.0, 0.0]), (4, [-1.0, 0.0])]
+    got = vector_dup.near_vectors(spark.createDataFrame([(i, v, 5, "x") for i, v in rows], "vec_id long, embedding array<double>, id long, rep string")).collect()
+    assert sorted(((x["vec_id"], x["component_id"], x["kept"]) for x in got), key=repr) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, None, True)]
+
+
 def test_search_over_the_graph_finds_what_is_near():
     r = np.random.default_rng(4)
     x = vector_dup.unit_rows((np.repeat(r.standard_normal((40, 24)), 20, axis=0) + 0.1 * r.standard_normal((800, 24))).tolist())
@@ -186,8 +211,10 @@ def test_language(spark):
     assert held and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in out.items())
     assert np.mean([out[i]["lang_pred"] == truth[i] for i in held]) > 0.95
     model = langid.learn(d)
-    odd = langid.identify(docs(spark, ODD), model).collect()
-    assert len(odd) == len(ODD) and all((r["lang_pred"] == "und") == (not r["text"] or not re.search(r"[^\W\d_]", r["text"])) and 0 <= r["score"] <= 1 for r in odd)
+    more = [*ODD, *enumerate(("½", "² ³", "Ⅷ", "①", "x½", "中"), 50)]
+    odd = langid.identify(docs(spark, more), model).collect()
+    assert langid.identify(docs(spark, []), model).count() == 0
+    assert len(odd) == len(more) and all((r["lang_pred"] == "und") == (not any(map(str.isalpha, r["text"] or ""))) and 0 <= r["score"] <= 1 for r in odd)
     nothing = langid.learn(docs(spark, []))
     assert [r["lang_pred"] for r in langid.identify(docs(spark, [(1, "abc")]), nothing).collect()] == ["und"]
 
@@ -283,6 +310,10 @@ def test_licenses():
     assert [m["license"] for m in found] == ["MIT", "MIT", "CC-BY-NC-4.0"] and found[1]["coverage"] == 1.0
     assert t.scan(None) == t.scan("") == (0, []) and t.scan(LONG)[1] == []
     assert t.scan("licensed the under of apache x y license version then 2 and 0 " * 3)[1] == []
+    lines = " ".join(["Licensed under the MIT License."] * 3000)
+    assert len(t.scan(lines)[1]) == 3000
+    full = dict(license_scan.TEMPLATES)["BSD-3-Clause"]
+    assert [m["license"] for m in t.scan(f"a b c {full} d e f")[1]] == ["BSD-3-Clause"]
     assert license_scan.align([1, 9, 2, 3, 3, 4], [1, 2, 3, 4]) == [(0, 0), (2, 1), (4, 2), (5, 3)]
 
 
