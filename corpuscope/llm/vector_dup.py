@@ -4,7 +4,7 @@ Equal vectors are one class. Classes go to the shards of their OVERLAP nearest c
 shards by hash. In each shard a graph is built: every vector's nearest candidates, pruned robustly (a neighbour goes if one
 kept before is ALPHA times closer to it), with edges back. A vector's adjacency lists from its shards are united to
 one flat graph. Every vector is then searched in it, a shard of queries at a time: a task holds its shard and, with their
-lists, the vectors that united edges lead to outside of it. The search is greedy best-first from medoids until the beam
+lists, the vectors outside of it that united edges lead to, but for those too far off to be in range together. The search is greedy best-first from medoids until the beam
 settles, and as long as vectors in range turn up, the range expands through their neighbours. Links are confirmed in double precision and
 counted in the one shard that is first for both. A sample drawn by hash, whatever was found, is compared with all vectors
 and audits the recall; where the last overlap still falls short, all vectors are compared block by block instead.
@@ -268,6 +268,7 @@ def _linked(classes: DataFrame, n: int, overlap: int, least: float) -> tuple[Dat
 
 def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(id, links) with copies counted, and edges (a, b) that span what is linked."""
+    wide = 2 * least * least - 1 - 1e-9  # two vectors in range of one are no further apart than this
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,18 +283,20 @@ def _search(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
     rows = written(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "vec-rows")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        lists = with_back_edges(robust_prune(unit_rows(pdf["v"].tolist())))
-        return pd.DataFrame({"id": ids, "near": [ids[x].tolist() for x in lists]})
+        ids, x = pdf["id"].to_numpy(), unit_rows(pdf["v"].tolist())
+        lists = with_back_edges(robust_prune(x))
+        close = [near[x[near] @ x[k] >= wide] for k, near in enumerate(lists)]
+        return pd.DataFrame({"id": ids, "near": [ids[x].tolist() for x in lists], "close": [ids[x].tolist() for x in close]})
 
-    lists = rows.groupBy("c", "part").applyInPandas(build, "id bigint, near array<bigint>")
-    union = written(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vec-graph")
+    lists = rows.groupBy("c", "part").applyInPandas(build, "id bigint, near array<bigint>, close array<bigint>")
+    united = [F.array_distinct(F.flatten(F.collect_list(x))).alias(x) for x in ("near", "close")]
+    union = written(lists.groupBy("id").agg(*united), "vec-graph")
 
     # blocks of queries against blocks of a cluster's graph: one of each for clusters of a shard
     graph = rows.join(union, "id").select("id", "m", "v", "own", "near", "c", F.col("part").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.lit(HELD).alias("kind"))
     asks = rows.where("parts > 1").select("id", "m", "v", "own", F.array().cast("array<bigint>").alias("near"), "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g"), F.col("part").alias("q"), F.lit(ASKED).alias("kind"))
-    # where united edges lead out of a shard's cluster: those vectors with their lists
-    out_edges = rows.select("id", "c", "part").join(union, "id").select("c", F.col("part").alias("g"), F.explode("near").alias("id")).distinct()
+    # where close united edges lead out of a shard's cluster: those vectors with their lists
+    out_edges = rows.select("id", "c", "part").join(union, "id").select("c", F.col("part").alias("g"), F.explode("close").alias("id")).distinct()
     whole = placed.join(union, "id")
     halo = out_edges.join(whole, "id").where(~F.array_contains("own", F.col("c"))).select("id", "m", "v", "own", "near", "c", "g", F.col("g").alias("q"), F.lit(OUTSIDE).alias("kind"))
     tasks = graph.unionByName(asks.where("g != q")).unionByName(halo)
