@@ -94,7 +94,7 @@ def _pairs(d: Dialect, window: int = 2) -> str:
     """Training pairs (centre, context) within a window, counted over the vocabulary of the model."""
     kept = "SELECT x.doc_id, lower(x.raw) AS word, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.pos) AS pos FROM dw_raw x LEFT JOIN stop p ON p.word = lower(x.raw) WHERE p.word IS NULL AND length(x.raw) > 1"
     shifts = " UNION ALL ".join(f"SELECT {s} AS s" for s in range(-window, window + 1) if s)
-    return f"SELECT a.word AS centre, b.word AS context, count(*) AS n FROM (SELECT k.doc_id, k.word, k.pos, k.pos + s.s AS other FROM ({kept}) AS k JOIN ({shifts}) AS s ON 1 = 1) AS a JOIN ({kept}) AS b ON b.doc_id = a.doc_id AND b.pos = a.other JOIN (SELECT word FROM model) AS m ON m.word = a.word GROUP BY a.word, b.word HAVING count(*) > 1"
+    return f"SELECT a.word AS centre, b.word AS context, count(*) AS n FROM (SELECT k.doc_id, k.word, k.pos, k.pos + s.s AS other FROM ({kept}) AS k JOIN ({shifts}) AS s ON 1 = 1) AS a JOIN ({kept}) AS b ON b.doc_id = a.doc_id AND b.pos = a.other JOIN (SELECT word FROM model) AS m ON m.word = a.word GROUP BY a.word, b.word"
 
 
 def _knn(d: Dialect) -> str:

@@ -253,7 +253,7 @@ def search_sql(d: Dialect, query: str, method: str = "bm25", default: str = "AND
           JOIN term_stats s ON s.term = t.term JOIN field_len l ON l.doc_id = t.doc_id AND l.field = '{scope}'
           JOIN field_avg a ON a.field = '{scope}' JOIN corpus c ON 1 = 1 GROUP BY t.doc_id"""
         keep = "WHERE coalesce(r.score, 0e0) > 0 OR h.n IS NULL"
-    ranked = f"""SELECT doc_id, round(score, 6) AS score, n_hits, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM
+    ranked = f"""SELECT doc_id, round(score, 6) AS score, n_hits, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM
       (SELECT k.doc_id, coalesce(r.score, 0e0) AS score, coalesce(h.n, 0) AS n_hits FROM ({m.docs}) AS k
        LEFT JOIN ({scored}) AS r ON r.doc_id = k.doc_id
        LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({hits}) AS y GROUP BY doc_id) AS h ON h.doc_id = k.doc_id {keep}) AS z"""

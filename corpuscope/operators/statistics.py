@@ -64,7 +64,7 @@ def _topics(d: Dialect) -> str:
 
 
 QUERIES = {
-    "a1_postings": lambda d: "SELECT term, doc_id, tf, first_pos, in_title FROM postings",
+    "a1_postings": lambda d: "SELECT term, doc_id, tf, first_pos, in_title, positions FROM postings",
     "a2_term_stats": lambda d: "SELECT term, df, cf, max_tf FROM term_stats",
     "a2_field_averages": lambda d: "SELECT field, round(avg_len, 6) AS avg_len FROM field_avg",
     "a3_vocab_prefix": lambda d: f"SELECT term, cf, df FROM term_stats WHERE {d.starts('term', 'the')} ORDER BY cf DESC, term LIMIT 50",

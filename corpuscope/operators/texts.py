@@ -46,7 +46,9 @@ def _chars(d: Dialect) -> str:
 
 def _bigrams(d: Dialect) -> str:
     """Character pairs of the vocabulary between sentinels, with the words that have them."""
-    chars = f"SELECT DISTINCT v.word, i.i, substr(concat('$', v.word, '$'), CAST(i.i AS INT), 2) AS gram FROM (SELECT DISTINCT surface AS word FROM tok) AS v JOIN ({d.series('i', '1', '64')}) AS i ON i.i <= length(v.word) + 1"
+    words = "(SELECT DISTINCT surface AS word FROM tok) AS v"
+    at = "explode(sequence(1, length(v.word) + 1))" if d.name == "spark" else "unnest(range(1, length(v.word) + 2))"
+    chars = f"SELECT DISTINCT word, substr(concat('$', word, '$'), CAST(i AS INT), 2) AS gram FROM (SELECT v.word, {at} AS i FROM {words}) AS p"
     return f"SELECT gram, count(DISTINCT word) AS words FROM ({chars}) AS g GROUP BY gram"
 
 

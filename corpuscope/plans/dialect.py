@@ -57,6 +57,7 @@ class Dialect:
         return f"SELECT explode(sequence(CAST({low} AS BIGINT), CAST({high} AS BIGINT))) AS {name}"
 
     real = "DOUBLE"
+    text = "STRING"
     words_a = "(?U)\\S+"
 
 
@@ -112,6 +113,7 @@ class Duck(Dialect):
     def series(self, name: str, low: str, high: str) -> str:
         return f"SELECT unnest(range(CAST({low} AS BIGINT), CAST({high} AS BIGINT) + 1)) AS {name}"
 
+    text = "VARCHAR"
     words_a = "[^\\s\\x{85}\\p{Z}]+"
 
 

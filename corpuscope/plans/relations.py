@@ -1,13 +1,17 @@
 """Base relations of the index over the tables documents, benchmark, labels and embeddings.
 
 docs(doc_id, title, abstract, body, text, lang, source), tok(doc_id, pos, field, surface, term), where term is the stem
-and null for a stop word, doc_len, term_stats, and so on. In DuckDB they are CTEs; in Spark the token table and the stem
-dimension are written once for a set of tables, ranged by term, and read by every query.
+and null for a stop word, doc_len, term_stats, and so on. In DuckDB they are CTEs; in Spark the token table, the stem
+dimension and what follows from them are written once for a state of the tables, ranged by term where queries name terms,
+and read by every query.
 """
 
 from __future__ import annotations
 
 import atexit
+import hashlib
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +52,7 @@ def derived_ctes(d: Dialect) -> list[tuple[str, str]]:
     """What follows from tok."""
     return [
         ("hits", "SELECT doc_id, pos, field, term FROM tok WHERE term IS NOT NULL"),
-        ("postings", "SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos, max(CASE WHEN field = 'title' THEN 1 ELSE 0 END) AS in_title FROM hits GROUP BY term, doc_id"),
+        ("postings", f"SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos, max(CASE WHEN field = 'title' THEN 1 ELSE 0 END) AS in_title, {d.join_sorted('CAST(pos AS ' + d.text + ')', 'pos', ',')} AS positions FROM hits GROUP BY term, doc_id"),
         ("field_postings", "SELECT term, doc_id, field, count(*) AS tf FROM hits GROUP BY term, doc_id, field"),
         ("term_stats", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM postings GROUP BY term"),
         ("doc_len", "SELECT doc_id, CAST(sum(tf) AS BIGINT) AS length, max(tf) AS max_tf, count(*) AS n_terms FROM postings GROUP BY doc_id"),
@@ -59,14 +63,16 @@ def derived_ctes(d: Dialect) -> list[tuple[str, str]]:
     ]
 
 
+def _names(sql: str) -> set[str]:
+    return set(re.findall(r"[a-z_][a-z0-9_]*", sql))
+
+
 def _with(ctes: list[tuple[str, str]], sql: str) -> str:
     """The CTEs that sql needs, directly or through others, in order."""
-    import re
-
     need, text = set(), [sql]
     by = dict(ctes)
     while text:
-        for w in set(re.findall(r"[a-z_][a-z0-9_]*", text.pop())):
+        for w in _names(text.pop()):
             if w in by and w not in need:
                 need.add(w)
                 text.append(by[w])
@@ -80,11 +86,32 @@ def duck(sql: str, extra: list[tuple[str, str]] = ()) -> str:
     return _with([*text_ctes(DUCK), ("tok", TOK), *derived_ctes(DUCK), *extra], sql)
 
 
-#: Written token tables by application and input.
-_built: dict[tuple[str, str], dict[str, str]] = {}
-
 TABLES = ("documents", "benchmark", "labels", "embeddings", "conversations", "pages")
 
+#: Relations that are written when a query first needs them and read from then on: by what their rows are ranged, or None
+#: for those with a row a document, a field or a word, and smaller ones.
+STORED = {
+    "postings": ("term", "doc_id"),
+    "field_postings": ("term", "doc_id"),
+    "term_stats": ("term",),
+    "doc_len": None,
+    "field_len": None,
+    "corpus": None,
+    "field_avg": None,
+    "zipf_counts": None,
+    "zipf": None,
+    "query_tf": None,
+    "vsm_tf": ("term", "doc_id"),
+    "vsm_term": ("term",),
+    "vsm_doc": None,
+    "dw_tf": None,
+    "w_rank": None,
+    "model": None,
+    "doc_vec": None,
+}
+#: What an engine needs before its first query.
+MAIN = ("postings", "field_postings", "term_stats", "doc_len", "field_len", "corpus", "field_avg")
+
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -108,44 +135,99 @@ def made(spark: SparkSession, name: str) -> str:
 
 
 def _root(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own only where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        import tempfile
-
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpuscope-index-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def build_index(spark: SparkSession, documents: DataFrame, path: str) -> None:
-    """Write the token table and the stem dimension below path.
+def snapshot(spark: SparkSession, path: str) -> str:
+    """A digest of the files below a path with their lengths and times: another one after any change."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
-    Tokens are ranged by term and sorted within, so that a term's rows lie in few row groups and a filter on it is pushed
-    down to them. Stems are made once per distinct word.
+
+class Index:
+    """The tables of a folder, their token index and what has been written of the relations that follow from them.
+
+    Views carry the index's own prefix, so that the caller's are left alone; relations are written below `path`.
     """
-    documents.createOrReplaceTempView("documents")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.sql(_with(text_ctes(SPARK), "SELECT * FROM stem_dim")).write.parquet(f"{path}/stem_dim")
-    spark.read.parquet(f"{path}/stem_dim").createOrReplaceTempView("stem_dim")
-    ctes = [x for x in text_ctes(SPARK) if x[0] in ("docs", "listed", "tok0", "surface_tok", "stop")]
-    tok = spark.sql(_with(ctes, TOK))
-    tok.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.parquet(f"{path}/tok")
-
-
-def open_index(spark: SparkSession, sf_dir: str) -> None:
-    """Make the tables of sf_dir and the index over them visible as views, building the index where there is none."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+    def __init__(self, spark: SparkSession, sf_dir: str, state: str):
+        self.spark, self.prefix, self.path = spark, f"corpuscope_{state[:16]}_", made(spark, "index")
+        self.views: dict[str, str] = {}
+        for t in TABLES:
+            self._view(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ctes = [*self._seen(), *text_ctes(SPARK)]
+        self._store("stem_dim", spark.sql(_with(ctes, "SELECT * FROM stem_dim")))
+        ctes = [*self._seen(), *(x for x in text_ctes(SPARK) if x[0] in ("docs", "listed", "tok0", "surface_tok", "stop"))]
+        self._store("tok", spark.sql(_with(ctes, TOK)).repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id", "pos"))
+
+    def _view(self, name: str, rows: DataFrame) -> None:
+        self.views[name] = self.prefix + name
+        rows.createOrReplaceTempView(self.views[name])
+
+    def _store(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._view(name, self.spark.read.parquet(f"{self.path}/{name}"))
+
+    def _seen(self) -> list[tuple[str, str]]:
+        return [(n, f"SELECT * FROM {v}") for n, v in self.views.items()]
+
+    def query(self, sql: str, extra: list[tuple[str, str]] = ()) -> DataFrame:
+        """sql over the relations; those of STORED that it needs are written first."""
+        every = [*text_ctes(SPARK), ("tok", TOK), *derived_ctes(SPARK), *extra]
+        by = dict(every)
+
+        def ready(text: str) -> None:
+            for w in sorted(_names(text)):
+                if w in by and w not in self.views and w not in done:
+                    done.add(w)
+                    ready(by[w])
+                    if w in STORED:
+                        rows = self.spark.sql(self._sql(every, by[w]))
+                        if ranged := STORED[w]:
+                            rows = rows.repartitionByRange(*ranged).sortWithinPartitions(*ranged)
+                        self._store(w, rows)
+
+        done: set[str] = set()
+        ready(sql)
+        return self.spark.sql(self._sql(every, sql))
+
+    def _sql(self, every: list[tuple[str, str]], sql: str) -> str:
+        return _with([*self._seen(), *(x for x in every if x[0] not in self.views)], sql)
+
+
+_open: dict[tuple[str, str], tuple[str, Index]] = {}
+
+
+def open_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index over the tables of a folder; a new one where there is none or the tables' files have changed."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        path = made(spark, "index")
-        build_index(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-        _built[key] = {n: f"{path}/{n}" for n in ("tok", "stem_dim")}
-    for n, p in _built[key].items():
-        spark.read.parquet(p).createOrReplaceTempView(n)
+    state = hashlib.md5("".join(snapshot(spark, f"{sf_dir}/{t}.parquet") for t in TABLES).encode()).hexdigest()
+    if key not in _open or _open[key][0] != state:
+        _open[key] = (state, Index(spark, sf_dir, state))
+    return _open[key][1]
+
+
+def build_tables(spark: SparkSession, sf_dir: str) -> None:
+    """Write what searches read."""
+    index = open_index(spark, sf_dir)
+    for name in MAIN:
+        index.query(f"SELECT * FROM {name}")
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str, extra: list[tuple[str, str]] = ()) -> DataFrame:
     """A Spark query over the index of sf_dir with the relations that it needs before it."""
-    open_index(spark, sf_dir)
-    ctes = [x for x in text_ctes(SPARK) if not x[0].startswith("p") and x[0] not in ("stem_dim", "vocab_words")]
-    return spark.sql(_with([*ctes, *derived_ctes(SPARK), *extra], sql))
+    return open_index(spark, sf_dir).query(sql, extra)
