@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.operators import embedding, evaluation, frames, ranking, statistics, texts, zipf
+from corpuscope.operators import composed, embedding, evaluation, frames, ranking, statistics, texts, zipf
 from corpuscope.plans.dialect import DUCK, SPARK
 from corpuscope.plans.relations import duck, spark_sql
 
@@ -14,7 +14,7 @@ from corpuscope.plans.relations import duck, spark_sql
 def _sql() -> dict[str, tuple[Callable, Callable]]:
     """name -> (query by dialect, relations by dialect that come before it)."""
     out: dict[str, tuple[Callable, Callable]] = {}
-    for module in (texts, statistics, ranking, evaluation, zipf, embedding):
+    for module in (texts, statistics, ranking, evaluation, zipf, embedding, composed):
         relations = getattr(module, "relations", lambda d: [])
         for name, q in module.QUERIES.items():
             out[name] = (q, relations)

@@ -27,9 +27,17 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
         ("model_dims", dims),
         ("doc_sums", _sums("dw_tf", "doc_id", weighted=True)),
         ("query_sums", _sums("qw_tf", "item_id", weighted=True)),
+        ("mean_sums", _sums("dw_tf", "doc_id", weighted=False)),
+        ("ask_sums", _sums("qw_tf", "item_id", weighted=False)),
         ("doc_unit", "SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM doc_sums"),
         ("query_unit", "SELECT item_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM query_sums"),
-        ("embed_scores", "SELECT q.item_id, v.doc_id, sum(q.x * v.x) AS score FROM query_unit q JOIN doc_unit v ON v.dim = q.dim GROUP BY q.item_id, v.doc_id"),
+        # unit vectors as arrays; the texts asked for are few, so that they are sent to where the documents lie
+        ("doc_vec", _vectors(d, "doc_sums", "doc_id")),
+        ("query_vec", _vectors(d, "query_sums", "item_id")),
+        ("mean_vec", _vectors(d, "mean_sums", "doc_id")),
+        ("ask_vec", _vectors(d, "ask_sums", "item_id")),
+        ("embed_scores", f"SELECT q.item_id, v.doc_id, {d.dot('q.vec', 'v.vec')} AS score FROM doc_vec v JOIN query_vec q ON 1 = 1"),
+        ("mean_scores", f"SELECT q.item_id, v.doc_id, {d.dot('q.vec', 'v.vec')} AS score FROM mean_vec v JOIN ask_vec q ON 1 = 1"),
         ("term_scores", f"SELECT q.item_id, w.doc_id, sum(q.w * w.w) AS score FROM ({ranking.query_weights_sql('ltc')}) AS q JOIN ({ranking.weights_sql('ltc')}) AS w ON w.term = q.term GROUP BY q.item_id, w.doc_id"),
     ]
 
@@ -40,6 +48,11 @@ def _sums(tf: str, key: str, weighted: bool) -> str:
     return f"SELECT {key}, dim, x FROM (SELECT t.{key}, m.dim, sum({w} * m.x) AS x, max(abs({w})) AS heaviest FROM {tf} t JOIN model_dims m ON m.word = t.word JOIN w_stats s ON s.word = t.word JOIN n_docs n ON 1 = 1 GROUP BY t.{key}, m.dim) AS u WHERE heaviest > 0"
 
 
+def _vectors(d: Dialect, sums: str, key: str) -> str:
+    unit = f"SELECT {key}, dim, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {sums}"
+    return f"SELECT {key}, {d.list_sorted('x', 'dim')} AS vec FROM ({unit}) AS u GROUP BY {key}"
+
+
 def _ranked(scores: str, k: int = 10) -> str:
     return f"SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({scores}) AS s) AS z WHERE rank <= {k}"
 

@@ -43,6 +43,9 @@ class Dialect:
     def join_sorted(self, value: str, order: str, sep: str = " ") -> str:
         return f"listagg({value}, '{sep}') WITHIN GROUP (ORDER BY {order})"
 
+    def list_sorted(self, value: str, order: str) -> str:
+        return f"transform(array_sort(collect_list(struct({order} AS o, {value} AS v))), s -> s.v)"
+
     def dot(self, a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, z) -> s + z)"
 
@@ -99,6 +102,9 @@ class Duck(Dialect):
     def join_sorted(self, value: str, order: str, sep: str = " ") -> str:
         return f"string_agg({value}, '{sep}' ORDER BY {order})"
 
+    def list_sorted(self, value: str, order: str) -> str:
+        return f"list({value} ORDER BY {order})"
+
     def dot(self, a: str, b: str) -> str:
         return f"list_dot_product({a}, {b})"
 

@@ -108,6 +108,13 @@ STORED = {
     "w_rank": None,
     "model": None,
     "doc_vec": None,
+    "query_vec": None,
+    "mean_vec": None,
+    "ask_vec": None,
+    "term_scores": None,
+    "run": None,
+    "scheme_run": None,
+    "method_run": None,
 }
 #: What an engine needs before its first query.
 MAIN = ("postings", "field_postings", "term_stats", "doc_len", "field_len", "corpus", "field_avg")
