@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: duck(q(DUCK), r(DUCK)) for n, (q, r) in _sql().items()}
+    return {n: duck(q(DUCK), r(DUCK)) for n, (q, r) in _sql().items()} | frames.oracle_sql()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,11 +12,12 @@ from pyspark.sql import functions as F
 from corpuscope.functions.distance import alignment, default_distance, distance_within, table
 from corpuscope.functions.sentences import sentences, split_sentences
 from corpuscope.functions.stopwords import STOP_WORDS
-from corpuscope.operators import models, statistics
+from corpuscope.operators import composed, models, statistics
 from corpuscope.operators.embedding import relations as embedding_relations
 from corpuscope.operators.query_language import search_sql
-from corpuscope.plans.dialect import SPARK
-from corpuscope.plans.relations import TOKEN, VECTOR_WORD, made, open_index, spark_sql
+from corpuscope.plans.dialect import DUCK, SPARK
+from corpuscope.plans.relations import TOKEN, VECTOR_WORD, duck, made, open_index, spark_sql
+from corpuscope.sources import query_sets
 from corpuscope.sources.documents import identifiers
 from corpuscope.streaming import index_stream
 
@@ -33,26 +36,35 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k"))).select("doc_id", "n", "sentence")
 
 
-def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two best sentences of every document for two words: by distinct words, hits, then place."""
-    rows = sentence_rows(spark, sf_dir)
-    words = F.regexp_extract_all(F.lower("sentence"), F.lit(TOKEN), F.lit(0))
-    hits = F.filter(words, lambda w: w.isin("nd", "ing"))
-    rows = rows.withColumn("hits", F.size(hits)).withColumn("distinct", F.size(F.array_distinct(hits))).where("hits > 0")
+def sentence_hits(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """(doc_id, n, hits, distinct): words of a sentence whose stem the query asks for, and how many stems they have."""
+    wanted = spark_sql(spark, sf_dir, f"SELECT word AS surface, stem FROM stem_dim WHERE stem IN ({composed.positive_stems_sql(SPARK, query)})")
+    tokens = sentence_rows(spark, sf_dir).select("doc_id", "n", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(TOKEN), F.lit(0))).alias("surface"))
+    return tokens.join(wanted, "surface").groupBy("doc_id", "n").agg(F.count("*").alias("hits"), F.count_distinct("stem").alias("distinct"))
+
+
+def snippets(spark: SparkSession, sf_dir: str, query: str = "nd ing") -> DataFrame:
+    """The two best sentences of every document for a query: by distinct stems, hits, then place."""
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.col("distinct") * 1000 + F.col("hits")), "n")
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("doc_id", "rank", "n", "sentence", "hits")
+    best = sentence_hits(spark, sf_dir, query).withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+    return best.join(sentence_rows(spark, sf_dir), ["doc_id", "n"]).select("doc_id", "rank", "n", "sentence", "hits")
 
 
-def document_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as units: numbered sentences with their field."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    rows = turns.select("conv_id", "turn", F.col("role").alias("field"), F.posexplode(sentences("text")).alias("k", "sentence"))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "k"))).select("conv_id", "turn", "field", "n", "sentence")
+def document_view(spark: SparkSession, sf_dir: str, query: str = "nd ing") -> DataFrame:
+    """Numbered sentences of every document with their unit (title, abstract, body) and the query's hits in each."""
+    field = F.when(F.col("line") == 0, "title").when(F.col("line") == 1, "abstract").otherwise("body")
+    lines = _docs(spark, sf_dir, F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    rows = lines.select("doc_id", "line", F.posexplode(sentences("t")).alias("k", "sentence"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k")))
+    hits = sentence_hits(spark, sf_dir, query).select("doc_id", "n", "hits")
+    return rows.join(hits, ["doc_id", "n"], "left").select("doc_id", "n", field.alias("field"), "sentence", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
-def url_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return pages.select("page_id", F.posexplode(identifiers("url")).alias("n", "i")).select("page_id", "n", "i.kind", "i.number")
+def text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers in a sentence made for every document: two that are named, one of them twice, and one in an address."""
+    made_up = F.concat(F.lit("see PMC00"), F.col("doc_id") + 1, F.lit(", PMID: "), F.col("n_chars") + 1000, F.lit(" and pmc "), F.col("doc_id") + 1, F.lit("; https://pubmed.ncbi.nlm.nih.gov/0"), F.col("n_chars") + 5_000_000)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(identifiers(made_up)).alias("n", "i"))
+    return rows.select("doc_id", F.col("n").cast("bigint").alias("n"), "i.kind", "i.number")
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +98,42 @@ def search(spark: SparkSession, sf_dir: str, query: str, method: str = "bm25", d
     return spark_sql(spark, sf_dir, search_sql(SPARK, query, method, default, scope, fuzzy_words(spark, sf_dir), limit))
 
 
+def corrections(spark: SparkSession, sf_dir: str, query: str, n: int = 5) -> dict[str, list[str]]:
+    """The query's words that the collection lacks, each with its n nearest dictionary words."""
+    words = dictionary(spark, sf_dir)
+    plain = [w.lower() for _, w, role in composed.analyse(re.sub(r"\w+[*~]\d?", " ", query)) if role == "term"]
+    asked = list(dict.fromkeys(w for w in plain if len(w) > 2 and not w.isdigit()))
+    known = {r["word"] for r in words.where(F.col("word").isin(asked)).collect()} if asked else set()
+    order = lambda rows: rows.orderBy("distance", F.desc("cf"), "word").limit(n).collect()
+    return {w: [r["word"] for r in order(words_within(words, w).where(F.col("word") != w))] for w in asked if w not in known}
+
+
+def engine_search(spark: SparkSession, sf_dir: str, query: str, method: str = "bm25", default: str = "AND", limit: int = 10, autocorrect: bool = True) -> tuple[DataFrame, dict]:
+    """The page of a search with snippets, and how the query was read: its words' roles, corrections, whether they were used.
+
+    A query that matches nothing is run again with each unknown word replaced by its best correction, if any.
+    """
+    found = corrections(spark, sf_dir, query)
+    fixed = query
+    for w, near in found.items():
+        if near:
+            fixed = re.sub(rf"(?<!\w){re.escape(w)}(?![\w*~])", near[0], fixed, flags=re.I)
+    page = lambda q: spark_sql(spark, sf_dir, composed.engine_sql(SPARK, q, method, default, limit, fuzzy_words(spark, sf_dir)))
+    out, used = page(query), query
+    if autocorrect and fixed != query and not out.limit(1).count():
+        again = page(fixed)
+        if again.limit(1).count():
+            out, used = again, fixed
+    best = snippets(spark, sf_dir, used).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "sentence"))).alias("s"))
+    shown = out.join(best.select("doc_id", F.array_join("s.sentence", " … ").alias("snippet")), "doc_id", "left")
+    return shown, {"query": used, "words": composed.analyse(used), "corrections": found, "corrected": used != query}
+
+
+def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a misspelt query that is run again as corrected."""
+    return engine_search(spark, sf_dir, "hendntx thanedblq", default="OR")[0]
+
+
 def spell_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five corrections for each word of three queries that is neither known nor short nor a number."""
     words = dictionary(spark, sf_dir)
@@ -169,13 +217,42 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_stream.term_stats(index_stream.read_version(spark, f"{base}/index", query.lastProgress["batchId"] + 1))
 
 
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word vectors, saved and loaded again: word, count, rank and the first component to five places."""
+    path = made(spark, "model")
+    rows = spark_sql(spark, sf_dir, "SELECT word, cf, rank, vec FROM model", embedding_relations(SPARK))
+    models.save_model(rows, path, {"dim": 64, "model": "given"})
+    loaded, params = models.load_model(spark, path)
+    if params != {"dim": 64, "model": "given"}:
+        raise ValueError("parameters of the model were not kept")
+    return loaded.select("word", "cf", "rank", F.element_at("vec", 1).alias("x"), F.size("vec").cast("bigint").alias("dim"))
+
+
+def query_set_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as a query set with manual grades: saved, two grades set, one taken back, loaded again."""
+    path = made(spark, "queries")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("qid"), F.lower("text").alias("text"))
+    query_sets.save(items, spark.createDataFrame([], query_sets.MANUAL), f"{path}/a")
+    queries, manual = query_sets.load(spark, f"{path}/a")
+    manual = query_sets.set_grades(manual, spark.createDataFrame([("1", 5, 7), ("1", 6, 1), ("2", 5, 1)], query_sets.MANUAL))
+    manual = query_sets.set_grades(manual, spark.createDataFrame([("1", 6, None)], query_sets.MANUAL))
+    query_sets.save(queries, manual, f"{path}/b")
+    queries, manual = query_sets.load(spark, f"{path}/b")
+    return queries.join(manual, "qid", "left").select("qid", F.length("text").cast("bigint").alias("size"), "doc_id", "grade")
+
+
+FUZZY = "hendn~1 OR thaneble~1"
+
 FRAMES = {
     "t7_sentences": sentence_rows,
     "r9_snippets": snippets,
     "r10_document_view": document_view,
-    "s11_parse_ids": url_ids,
+    "s11_parse_ids": text_ids,
     "r22_osa_within": osa_within,
-    "q8_fuzzy": lambda spark, sf_dir: search(spark, sf_dir, "hendn~1 OR thanedble~2"),
+    "q8_fuzzy": lambda spark, sf_dir: search(spark, sf_dir, FUZZY),
+    "r7_did_you_mean": did_you_mean,
+    "s15_model_round_trip": model_round_trip,
+    "s16_query_set": query_set_round_trip,
     "q15_spellcheck": spell_check,
     "t16_edit_matrix": edit_matrix,
     "r23_pca": pca,
@@ -183,5 +260,32 @@ FRAMES = {
     "r28_sgns": train,
     "stream_index": stream,
 }
+
+
+def _duck_near(word: str, k: int, more: str = "") -> str:
+    """Dictionary words by distance with transpositions: at one edit the restricted distance is the same."""
+    low, up = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ()[]{}<"
+    distance = f"damerau_levenshtein(translate(word, '{low}', '{up}'), '{word}')"
+    return f"SELECT word, CAST({distance} AS BIGINT) AS distance, cf FROM ({statistics._surface(DUCK)}) AS s WHERE {distance} <= {k} {more}"
+
+
+def _duck_fuzzy(word: str, k: int) -> str:
+    return f"SELECT word FROM ({_duck_near(word, k)} ORDER BY distance, cf DESC, word LIMIT {FUZZY_LIMIT}) AS near"
+
+
+def oracle_sql() -> dict[str, str]:
+    asked = [w for w in ("tioon", "hereof", "thandx")]
+    spelt = " UNION ALL ".join(f"SELECT * FROM (SELECT '{w}' AS asked, word, distance, cf FROM ({_duck_near(w, default_distance(w))}) AS n WHERE word <> '{w}' AND NOT EXISTS (SELECT 1 FROM tok WHERE surface = '{w}') ORDER BY distance, cf DESC, word LIMIT 5) AS a" for w in asked)
+    ids = "SELECT doc_id, 0 AS n, 'pmc' AS kind, CAST(doc_id + 1 AS VARCHAR) AS number FROM documents UNION ALL SELECT doc_id, 1, 'pmid', CAST(n_chars + 1000 AS VARCHAR) FROM documents UNION ALL SELECT doc_id, 2, 'pmid', CAST(n_chars + 5000000 AS VARCHAR) FROM documents"
+    kept = "SELECT '1' AS qid, 5 AS doc_id, 2 AS grade UNION ALL SELECT '2', 5, 1"
+    return {
+        "q8_fuzzy": duck(search_sql(DUCK, FUZZY, fuzzy=_duck_fuzzy)),
+        "q15_spellcheck": duck(spelt),
+        "s11_parse_ids": f"SELECT doc_id, CAST(n AS BIGINT) AS n, kind, number FROM ({ids}) AS i",
+        "s15_model_round_trip": duck("SELECT word, cf, rank, round(vec[1], 5) AS x, CAST(len(vec) AS BIGINT) AS dim FROM model", embedding_relations(DUCK)),
+        "s16_query_set": f"SELECT CAST(b.item_id AS VARCHAR) AS qid, CAST(length(b.text) AS BIGINT) AS size, CAST(k.doc_id AS BIGINT) AS doc_id, CAST(k.grade AS INT) AS grade FROM benchmark b LEFT JOIN ({kept}) AS k ON k.qid = CAST(b.item_id AS VARCHAR)",
+    }
+
+
 QUERIES: dict = {}
 __all__ = ["FRAMES", "QUERIES", "open_index", "search"]

@@ -153,7 +153,7 @@ class Compiled:
 class Compiler:
     """Trees to SQL over hits(doc_id, pos, field, term), documents and stem_dim(word, stem)."""
 
-    def __init__(self, d: Dialect, fuzzy: Callable[[str, int], list[str]] | None = None):
+    def __init__(self, d: Dialect, fuzzy: Callable[[str, int], list[str] | str] | None = None):
         self.d, self.fuzzy = d, fuzzy or (lambda word, k: [word.lower()])
 
     NOTHING = "SELECT doc_id, term, pos, field FROM hits WHERE 1 = 0"
@@ -162,8 +162,10 @@ class Compiler:
     def _leaf(self, hits: str, label: str) -> Compiled:
         return Compiled(f"SELECT DISTINCT doc_id FROM ({hits}) AS l", hits, f"SELECT doc_id, {self.d.lit(label)} AS label, count(*) AS n FROM ({hits}) AS l GROUP BY doc_id")
 
-    def _stems(self, ws: list[str]) -> str:
-        """Stems of words that are no stop words."""
+    def _stems(self, ws: list[str] | str) -> str:
+        """Stems of words that are no stop words; the words may be a subquery."""
+        if isinstance(ws, str):
+            return f"SELECT stem FROM stem_dim WHERE word IN ({ws}) AND word NOT IN (SELECT word FROM stop)"
         kept = [w for w in ws if w not in STOP_WORDS]
         return f"SELECT stem FROM stem_dim WHERE word IN ({', '.join(map(self.d.lit, kept)) or 'NULL'})"
 

@@ -149,6 +149,9 @@ def read_articles(spark: SparkSession, path: str, pattern: str = "*.{xml,nxml}")
 ABSTRACT = "pmid string, title string, abstract array<string>, journal string, year string, authors array<string>, keywords array<string>, doi string, mesh array<struct<d:string,major:boolean,q:array<string>>>, pubtypes array<string>"
 
 
+ABSTRACT_STRUCT = ABSTRACT.replace(" string", ":string").replace(" array", ":array")
+
+
 def read_abstracts(spark: SparkSession, path: str) -> DataFrame:
     """Documents of JSON lines of abstracts; the id is PMID and the pmid, lines without one are dropped."""
     rows = spark.read.schema(ABSTRACT).json(path).where("pmid is not null")
@@ -222,6 +225,56 @@ def write_stories(stories: DataFrame, path: str) -> None:
     stories.select("newid", "oldid", "split", "type", "date", "topics", "places", "title", "dateline", "body").write.partitionBy("split").json(path)
 
 
+def read_stories(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """Documents of the lines that write_stories wrote, those of one split or all: the id is the story's number."""
+    ddl = "newid int, oldid int, type string, date string, topics array<string>, places array<string>, title string, dateline string, body array<string>, split string"
+    rows = spark.read.schema(ddl).json(path)
+    if split:
+        rows = rows.where(F.col("split") == split)
+    year = F.regexp_extract("date", r"\b(\d{4})\b", 1)
+    return with_document_columns(rows.select("*", F.concat(F.lit("R"), "newid").alias("doc_id"), F.col("body").alias("abstract"), year.alias("year"), F.lit(path).alias("source")))
+
+
+# -- bibliographic records -------------------------------------------------------------------------------------------
+
+
+def _text(e: ET.Element | None) -> str:
+    return " ".join("".join(e.itertext()).split()) if e is not None else ""
+
+
+def _record(entry: ET.Element) -> dict | None:
+    cited = entry.find("MedlineCitation")
+    art = cited.find("Article") if cited is not None else None
+    if art is None:
+        return None
+    first = lambda *paths: next((t for p in paths if (t := _text((cited if p.startswith("Medline") else art).find(p)))), "")
+    abstract = [(x.get("Label", "").title(), _text(x)) for x in art.findall("Abstract/AbstractText")]
+    people = [_text(a.find("CollectiveName")) if a.find("LastName") is None else f"{_text(a.find('ForeName'))} {_text(a.find('LastName'))}".strip() for a in art.iter("Author")]
+    headings = [(h.find("DescriptorName"), h.findall("QualifierName")) for h in cited.iter("MeshHeading")]
+    return {
+        "pmid": _text(cited.find("PMID")), "title": first("ArticleTitle").rstrip("."), "abstract": [f"{label}: {t}" if label else t for label, t in abstract if t],
+        "journal": first("Journal/Title", "MedlineJournalInfo/MedlineTA"), "year": first("Journal/JournalIssue/PubDate/Year", "ArticleDate/Year") or first("Journal/JournalIssue/PubDate/MedlineDate")[:4],
+        "authors": [a for a in people if a], "keywords": [k for k in map(_text, cited.iter("Keyword")) if k],
+        "doi": next((_text(a) for a in entry.iter("ArticleId") if a.get("IdType") == "doi"), ""),
+        "mesh": [{"d": _text(d), "major": any(x.get("MajorTopicYN") == "Y" for x in (d, *qs)), "q": [_text(x) for x in qs]} for d, qs in headings if d is not None],
+        "pubtypes": [t for t in map(_text, art.iter("PublicationType")) if t],
+    }
+
+
+def parse_records(text: str) -> list[dict]:
+    """Records with an abstract of a set in the bibliographic XML form; raises ElementTree's ParseError."""
+    root = ET.fromstring(re.sub(r"<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>", "", text))
+    return [r for e in root.iter("PubmedArticle") if (r := _record(e)) is not None and r["abstract"]]
+
+
+def read_records(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
+    """Documents of files of bibliographic records, with headings and publication types; the id is PMID and the pmid."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.decode("content", "UTF-8").alias("t"))
+    rows = files.select("path", F.explode(_udf(parse_records, f"array<struct<{ABSTRACT_STRUCT}>>")("t")).alias("r")).select("path", "r.*")
+    kind = F.when(F.exists("pubtypes", lambda t: t.contains("Review")), "review-article").otherwise("research-article")
+    return with_document_columns(rows.select("*", F.concat(F.lit("PMID"), "pmid").alias("doc_id"), F.col("path").alias("source"), kind.alias("article_type")))
+
+
 # -- identifiers -----------------------------------------------------------------------------------------------------
 
 _ID = re.compile(r"\bPMC\s*:?\s*0*(\d+)|\bPMID\s*:?\s*0*(\d+)|pubmed(?:\.ncbi\.nlm\.nih\.gov)?/0*(\d+)|(?<![\w./-])0*(\d{4,9})(?![\w-])", re.I)

@@ -42,3 +42,39 @@ def test_abstracts_and_ids(spark, tmp_path):
     [r] = d.read_abstracts(spark, str(tmp_path / "x.jsonl")).collect()
     assert (r.doc_id, r.abstract, r.keywords, r.journal) == ("PMID7", ["a"], [], "")
     assert d.parse_ids("PMC0012, pmid: 34 https://pubmed.ncbi.nlm.nih.gov/0056/ PMC12 and 123456") == [("pmc", "12"), ("pmid", "34"), ("pmid", "56"), ("pmid", "123456")]
+
+
+RECORDS = """<?xml version="1.0"?><!DOCTYPE PubmedArticleSet SYSTEM "p.dtd"><PubmedArticleSet>
+<PubmedArticle><MedlineCitation><PMID>99</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>2001 Spring</MedlineDate></PubDate></JournalIssue><Title>Letters</Title></Journal>
+<ArticleTitle>Of <b>mice</b>.</ArticleTitle><Abstract><AbstractText Label="METHODS">We  looked.</AbstractText><AbstractText>Then wrote.</AbstractText><AbstractText/></Abstract>
+<AuthorList><Author><LastName>Poe</LastName><ForeName>E</ForeName></Author><Author><CollectiveName>The Group</CollectiveName></Author></AuthorList>
+<PublicationTypeList><PublicationType>Review</PublicationType></PublicationTypeList></Article>
+<MeshHeadingList><MeshHeading><DescriptorName MajorTopicYN="N">Mice</DescriptorName><QualifierName MajorTopicYN="Y">blood</QualifierName></MeshHeading><MeshHeading><DescriptorName>Rats</DescriptorName></MeshHeading></MeshHeadingList>
+<KeywordList><Keyword>small</Keyword></KeywordList></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.9/z</ArticleId></ArticleIdList></PubmedData></PubmedArticle>
+<PubmedArticle><MedlineCitation><PMID>100</PMID><Article><ArticleTitle>No abstract</ArticleTitle></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"""
+
+
+def test_bibliographic_records(spark, tmp_path):
+    (tmp_path / "r.xml").write_text(RECORDS)
+    [r] = d.read_records(spark, str(tmp_path)).collect()
+    assert (r.doc_id, r.title, r.year, r.journal, r.doi, r.article_type) == ("PMID99", "Of mice", "2001", "Letters", "10.9/z", "review-article")
+    assert r.abstract == ["Methods: We looked.", "Then wrote."] and r.authors == ["E Poe", "The Group"] and r.keywords == ["small"] and r.pubtypes == ["Review"]
+    assert [(m.d, m.major, m.q) for m in r.mesh] == [("Mice", True, ["blood"]), ("Rats", False, [])]
+
+
+def test_stories_are_read_back(spark, tmp_path):
+    (tmp_path / "x.sgm").write_bytes(SGML.encode("latin-1"))
+    d.write_stories(d.with_split(d.read_newswire(spark, str(tmp_path))), str(tmp_path / "out"))
+    [r] = d.read_stories(spark, str(tmp_path / "out"), "train").collect()
+    assert (r.doc_id, r.title, r.abstract, r.topics, r.split) == ("R1", "PRICES & MORE", ["First line goes on.", "Second one."], ["corn", "wheat"], "train")
+    assert d.read_stories(spark, str(tmp_path / "out"), "test").count() == 0
+
+
+def test_manual_grades(spark, tmp_path):
+    from corpuscope.sources import query_sets as q
+
+    queries = spark.createDataFrame([("a", "one"), ("b", "two")], "qid string, text string")
+    manual = q.set_grades(spark.createDataFrame([("a", 1, 1), ("b", 2, 2)], q.MANUAL), spark.createDataFrame([("a", 1, 9), ("b", 2, None), ("b", 3, -4)], q.MANUAL))
+    q.save(queries, manual, str(tmp_path / "q"))
+    back, grades = q.load(spark, str(tmp_path / "q"))
+    assert sorted(map(tuple, back.collect())) == [("a", "one"), ("b", "two")] and sorted(map(tuple, grades.collect())) == [("a", 1, 2), ("b", 3, 0)]
