@@ -465,3 +465,92 @@ def test_toxicity_of_held_out_documents(spark):
     truth = {r["doc_id"]: r["toxic"] for r in labels.join(docs_, "doc_id", "left_semi").collect() if r["doc_id"] in out}
     toxic = [i for i, y in truth.items() if y == 1]
     assert sum(out[i] for i in toxic) >= 0.85 * len(toxic) and sum(out[i] for i, y in truth.items() if y == 0) <= 0.01 * len(truth)
+
+
+def test_kernel_by_sets():
+    """Presence kernels and regression values against sets of buckets counted one by one."""
+    texts = ["Der Hund schläft.", "the dog sleeps", "le chien dort", "the cat; the dog", "ab", "12 a"]
+
+    def grams(t):
+        clean = " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+        out = set()
+        for n in range(1, 4):
+            for i in range(len(clean) - n + 1):
+                out.add(clean[i : i + n])
+        return out
+
+    spectra = [langid.spectrum(t) for t in texts]
+    for t, s in zip(texts, spectra, strict=True):
+        padded = " " + re.sub(r"[\W\d_]+", " ", t.lower()) + " "
+        assert abs(int(s.sum()) - len({padded[i : i + n] for n in range(1, 4) for i in range(len(padded) - n + 1)})) <= 1  # buckets may be shared
+        assert grams(t) <= {padded[i : i + n] for n in range(1, 4) for i in range(len(padded) - n + 1)}
+    rows = [("x", s) for s in spectra[:3]] + [("y", s) for s in spectra[3:]]
+    model = langid.fit(rows, ["x", "y"], landmarks=2)
+    marks = [set(np.flatnonzero(s)) for s in (*spectra[:2], *spectra[3:5])]
+    for s in spectra:
+        own = set(np.flatnonzero(s))
+        k = np.array([len(own & m) / np.sqrt(len(own) * len(m)) for m in marks] + [1.0])
+        assert np.allclose(k @ model.weights, model.values([s])[0], atol=1e-5)
+
+
+def test_alignment_by_brute_force():
+    """Aligned places increase and hold equal words; no fewer than the anchors that a plain search for them gives; never more than a longest common subsequence."""
+    r = random.Random(21)
+    for _ in range(200):
+        a, b = [r.randint(0, 12) for _ in range(r.randint(0, 14))], [r.randint(0, 12) for _ in range(r.randint(0, 14))]
+        got = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+        lcs = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                lcs[i + 1][j + 1] = lcs[i][j] + 1 if a[i] == b[j] else max(lcs[i][j + 1], lcs[i + 1][j])
+        assert len(got) <= lcs[-1][-1]
+        values = [r.randint(0, 20) for _ in range(r.randint(0, 10))]
+        best = max((len(x) for n in range(1 << len(values)) for x in [[v for k, v in enumerate(values) if n >> k & 1]] if all(p < q for p, q in zip(x, x[1:]))), default=0)
+        assert len(license_scan.longest_increasing(values)) == best
+
+
+def test_planted_licenses(spark):
+    """Whole texts and notices, some words changed, between random words: all are found where they stand, nothing else is."""
+    r = random.Random(22)
+    rows, want = [], {}
+    for i in range(40):
+        words, places = prose(300 + i, 50).split(), []
+        for _ in range(r.randint(0, 3)):
+            name, text = license_scan.TEMPLATES[r.randrange(len(license_scan.TEMPLATES))]
+            w = [x.decode() for x in decontam.words_of(text)]
+            if len(w) > 40:
+                w[r.randrange(5, len(w) - 5)] = "changedword"
+            places.append((name, len(words), len(words) + len(w)))
+            words += w + prose(r.random(), 60).split()
+        rows.append((i, " ".join(words)))
+        want[i] = places
+    out = license_scan.scan_licenses(docs(spark, [*rows, (100, None), (101, ""), (102, "MIT"), (102, "MIT")])).collect()
+    got = {x["doc_id"]: [(m["license"], m["start"], m["end"]) for m in x["licenses"]] for x in out}
+    for i, places in want.items():  # an end may lack what follows the last anchor, a tenth of the template at most
+        assert [a for _, a, _ in places] == [a for _, a, _ in got[i]]
+        assert all(b - 0.1 * (b - a) <= end <= b for (_, a, b), (_, _, end) in zip(places, got[i], strict=True))
+    assert sum(g[0] == w[0] for i in want for g, w in zip(got[i], want[i])) >= 0.9 * sum(map(len, want.values()))  # notices that are nearly alike share words
+    assert got[100] == got[101] == got[102] == [] and license_scan.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_warc_on_odd_rows(spark, tmp_path):
+    kind = "page_id long, url string, html string, member string, path string, at string, payload string"
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, None, "same"), (None, "n", "same"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 2_000_000)]
+    pages = spark.createDataFrame([(*x, "m", "p", "a", "y") for x in rows], kind)
+    warc.write_warc(pages, f"file://{tmp_path}/odd")
+    got = warc.read_warc(spark, f"file://{tmp_path}/odd").collect()
+    assert len(got) == len(rows) and sorted(r["payload_bytes"] for r in got) == [0, 0, 4, 4, 4, 4, 2_000_000]
+    # the smallest id's rows are all responses, and so is a row of no id
+    assert sum(r["record_type"] == "response" for r in got) == 5 and {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {1, 3}
+    warc.write_warc(spark.createDataFrame([], kind), f"file://{tmp_path}/none")
+    assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_pages_on_odd_rows(spark):
+    net = html_text.trained()
+    long = "<article>" + "".join(f"<p>{prose(k, 40).capitalize()}.</p>" for k in range(2500)) + "</article>"
+    kind = "page_id long, url string, html string, text string, n_chars string"
+    out = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame([(1, None, None, "t", "n"), (2, "u", long, None, None), (None, "u", "<p>", "", "")], kind), net=net).collect()}
+    assert out[1]["text"] == "" and out[None]["text"] == "" and out[2]["n_chars"] == len(out[2]["text"]) and out[2]["text"].count("\n") > 2000
+    assert html_text.extract(spark.createDataFrame([], kind), net=net).count() == 0
