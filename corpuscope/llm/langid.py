@@ -9,7 +9,6 @@ language. Texts are scored in batches by matrix products of presence rows, landm
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +30,9 @@ RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
 
-# \w also holds numerals that are no letters
-_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_OTHERS = re.compile(r"[\W\d_]+")
+# \w also holds numerals that are no letters; a class beyond 16 bits would be searched one by one
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 _SCALE = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -41,8 +40,10 @@ def spectrum(text: str | None) -> np.ndarray | None:
     """Presence of every bucket; None for a text without a letter."""
     if not text:
         return None
+    if not text.isascii() and _NUMERALS.search(text):
+        text = _NUMERALS.sub(" ", text)
     clean = _OTHERS.sub(" ", text.lower())
-    if clean in ("", " "):
+    if not any(map(str.isalpha, clean)):
         return None
     c = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
     seen = np.zeros(D, dtype=bool)
