@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm import decontam, langid, near_dup, packing, toxicity
+from corpuscope.llm.common import forget, written
 
 #: A prediction below this is as good as none among the learned languages.
 LEAST_LANG_SCORE = 0.3
@@ -51,8 +52,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of null doc_id stay.
     """
     gone = near_dup.near_duplicates(docs, num=SIMILAR[0], den=SIMILAR[1], rows=BAND_ROWS).where("not kept").select("doc_id")
+    gone = written(gone, "gone")  # its size is known from here on, so that few rows are sent to the texts and not the texts shuffled
     left = docs.join(gone, "doc_id", "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    twice = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
     once = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{n}`") for n in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
     return left.join(twice, "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns]).unionByName(once.select(*[F.col(f"`{n}`") for n in docs.columns]))
 
@@ -86,9 +88,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written below the shared folder and read by the next."""
-    from corpuscope.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
