@@ -44,7 +44,8 @@ def text_ctes(d: Dialect) -> list[tuple[str, str]]:
     return [("docs", docs), ("listed", listed), ("tok0", tok0), ("surface_tok", surface), ("stop", stop_sql()), ("vocab_words", words), *stem_ctes(d, "vocab_words")]
 
 
-TOK = """SELECT t.doc_id, t.pos, t.field, t.surface, s.stem, CASE WHEN p.word IS NULL THEN s.stem END AS term
+# A corpus has more words than may be sent to every task, and its tokens are too many to sort by word for the join.
+TOK = """SELECT /*+ SHUFFLE_HASH(s) */ t.doc_id, t.pos, t.field, t.surface, s.stem, CASE WHEN p.word IS NULL THEN s.stem END AS term
   FROM surface_tok t JOIN stem_dim s ON s.word = t.surface LEFT JOIN stop p ON p.word = t.surface"""
 
 
@@ -105,6 +106,7 @@ STORED = {
     "vsm_term": ("term",),
     "vsm_doc": None,
     "dw_tf": None,
+    "w_stats": None,
     "w_rank": None,
     "model": None,
     "doc_vec": None,
