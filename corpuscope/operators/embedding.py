@@ -22,7 +22,10 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
         *words("dw", "documents", "doc_id"),
         *words("qw", "benchmark", "item_id"),
         ("w_stats", "SELECT word, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM dw_tf GROUP BY word"),
-        ("w_rank", "SELECT word, df, cf, row_number() OVER (ORDER BY cf DESC, word) AS rank FROM w_stats"),
+        # as in the Zipf block: what stands before a word's group, from a small histogram, and its place in the group
+        ("w_groups", "SELECT cf, substr(word, 1, 2) AS head, count(*) AS n FROM w_stats GROUP BY cf, substr(word, 1, 2)"),
+        ("w_offsets", "SELECT cf, head, CAST(coalesce(sum(n) OVER (ORDER BY cf DESC, head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM w_groups"),
+        ("w_rank", "SELECT s.word, s.df, s.cf, o.ahead + row_number() OVER (PARTITION BY s.cf, substr(s.word, 1, 2) ORDER BY s.word) AS rank FROM w_stats s JOIN w_offsets o ON o.cf = s.cf AND o.head = substr(s.word, 1, 2)"),
         ("model", f"SELECT r.word, r.cf, r.df, r.rank, {d.doubles('e.embedding')} AS vec, e.label FROM w_rank r JOIN embeddings e ON e.vec_id = r.rank - 1"),
         ("model_dims", dims),
         ("doc_sums", _sums("dw_tf", "doc_id", weighted=True)),
