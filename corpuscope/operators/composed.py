@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 from corpuscope.functions.stopwords import STOP_WORDS
-from corpuscope.operators import embedding, evaluation, ranking
+from corpuscope.operators import embedding, evaluation, ranking, scoring
 from corpuscope.operators.query_language import FIELDS, Compiler, parse, positive_words, search_sql, term_score, words
 from corpuscope.operators.zipf import relations as zipf_relations
 from corpuscope.plans.dialect import Dialect
@@ -41,8 +41,8 @@ def positive_stems_sql(d: Dialect, query: str) -> str:
     """Stems of what the query asks for, prefixes opened to the stems that they begin."""
     leaves = positive_words(parse(query))
     plain = [w for leaf in leaves if leaf.kind != "PREFIX" for w in words(leaf.value) if w not in STOP_WORDS]
-    parts = [f"SELECT stem FROM stem_dim WHERE word IN ({', '.join(map(d.lit, plain)) or 'NULL'})"]
-    parts += [f"SELECT stem FROM stem_dim WHERE {d.starts('word', leaf.value.lower())} OR {d.starts('stem', leaf.value.lower())}" for leaf in leaves if leaf.kind == "PREFIX"]
+    parts = [f"SELECT stem FROM {d.stems} WHERE word IN ({', '.join(map(d.lit, plain)) or 'NULL'})"]
+    parts += [f"SELECT stem FROM {d.stems} WHERE {d.starts('word', leaf.value.lower())} OR {d.starts('stem', leaf.value.lower())}" for leaf in leaves if leaf.kind == "PREFIX"]
     return " UNION ".join(parts)
 
 
@@ -89,12 +89,22 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
     schemes = " UNION ALL ".join(f"SELECT '{s}' AS run_id, item_id, doc_id, score, rank FROM ({ranking.rank_sql(s, k=k)}) AS r_{s}" for s in COMPARED)
     methods = " UNION ALL ".join(f"SELECT '{m}' AS run_id, item_id, doc_id, score, rank FROM ({method_sql(m, k=k)}) AS m_{i}" for i, m in enumerate(METHODS))
     seen = {n for n, _ in evaluation.relations(d)}
+    own = []
+    if d.name == "spark":
+        own = [
+            ("doc_words_asked", embedding._gathered("SELECT * FROM word_weights", "word", "ask_weights")),
+            ("stem_top", scoring.top("doc_vec", "doc_stems", "query_vec", "query_stems", {"tfidf-stem": (1.0, 0.0), "w2v-tfidf": (0.0, 1.0), "hybrid": (0.2, 0.8)})),
+            ("word_top", scoring.top("mean_vec", "doc_words_asked", "ask_vec", "ask_weights", {"tfidf": (1.0, 0.0), "w2v-avg": (0.0, 1.0)}, key="word")),
+        ]
+        ranked = f"SELECT run_id, item_id, doc_id, score, row_number() OVER (PARTITION BY run_id, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT * FROM stem_top UNION ALL SELECT * FROM word_top) AS t"
+        methods = f"SELECT run_id, item_id, doc_id, round(score, 6) AS score, rank FROM ({ranked}) AS r WHERE rank <= {k}"
     return [
         *evaluation.relations(d),
         *(x for x in embedding.relations(d) if x[0] not in seen),
         *zipf_relations(d),
         ("word_weights", _word_weights("dw_tf", "doc_id")),
         ("ask_weights", _word_weights("qw_tf", "item_id")),
+        *own,
         ("scheme_run", schemes),
         ("method_run", methods),
     ]
@@ -234,5 +244,5 @@ QUERIES = {
     "t6_list_comparison": _lists,
     "t22_word_list": _word_list,
     "t10_stemmed_words": lambda d: "SELECT t.doc_id, coalesce(s.stem, t.word) AS term, CAST(sum(t.tf) AS BIGINT) AS tf FROM dw_tf t LEFT JOIN stem_dim s ON s.word = t.word GROUP BY t.doc_id, coalesce(s.stem, t.word)",
-    "j_semi": lambda d: "SELECT x.doc_id, x.lang FROM documents x WHERE EXISTS (SELECT 1 FROM postings p JOIN stem_dim s ON s.stem = p.term WHERE s.word = 'nd' AND p.doc_id = x.doc_id)",
+    "j_semi": lambda d: "SELECT x.doc_id, x.lang FROM documents x WHERE EXISTS (SELECT 1 FROM doc_words p WHERE p.stem = 'nd' AND NOT p.stop AND p.doc_id = x.doc_id) AND EXISTS (SELECT 1 FROM doc_words WHERE word = 'nd')" if d.name == "spark" else "SELECT x.doc_id, x.lang FROM documents x WHERE EXISTS (SELECT 1 FROM postings p JOIN stem_dim s ON s.stem = p.term WHERE s.word = 'nd' AND p.doc_id = x.doc_id)",
 }

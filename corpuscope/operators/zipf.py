@@ -26,10 +26,19 @@ def condition_sql(d: Dialect, condition: str) -> str:
     }[condition]
 
 
+def _counts(d: Dialect) -> str:
+    """(condition, term, cf, df) in Spark: what a document has of a word is counted where it lies, so that words alone are shuffled."""
+    words = f"SELECT {d.all('lower(text)', d.words_a)} AS w FROM documents"
+    pair = "SELECT term, 1 AS c, 0 AS d FROM (SELECT explode(w) AS term FROM ({0}) AS l) AS x UNION ALL SELECT term, 0 AS c, 1 AS d FROM (SELECT explode(array_distinct(w)) AS term FROM ({0}) AS l) AS y".format(words)
+    own = {"B": ("word", "tf", "doc_words", "TRUE"), "C": ("word", "tf", "doc_words", "NOT stop"), "D": ("term", "tf", "doc_terms", "tf > 0"), "E": ("term", "n_all", "doc_terms", "TRUE")}
+    each = [f"SELECT '{c}' AS condition, {k} AS term, CAST(sum({n}) AS BIGINT) AS cf, count(*) AS df FROM {t} WHERE {where} GROUP BY {k}" for c, (k, n, t, where) in own.items()]
+    return " UNION ALL ".join([f"SELECT 'A' AS condition, term, CAST(sum(c) AS BIGINT) AS cf, CAST(sum(d) AS BIGINT) AS df FROM ({pair}) AS g GROUP BY term", *each])
+
+
 def relations(d: Dialect) -> list[tuple[str, str]]:
     each = " UNION ALL ".join(f"SELECT '{c}' AS condition, term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM ({condition_sql(d, c)}) AS t GROUP BY doc_id, term) AS g GROUP BY term" for c in CONDITIONS)
     return [
-        ("zipf_counts", each),
+        ("zipf_counts", _counts(d) if d.name == "spark" else each),
         # a rank is what stands before a term's group (frequency, first letters), from a small histogram, and its place in the group:
         # no task sorts a whole vocabulary
         ("zipf_groups", "SELECT condition, cf, substr(term, 1, 2) AS head, count(*) AS n FROM zipf_counts GROUP BY condition, cf, substr(term, 1, 2)"),
