@@ -25,29 +25,32 @@ from corpuscope.streaming import index_stream
 FUZZY_LIMIT = 30
 
 
-def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *columns)
+def _docs(spark: SparkSession, sf_dir: str, *columns: str, only: DataFrame | None = None) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if only is not None:  # the few documents of a page
+        rows = rows.join(F.broadcast(only.select("doc_id")), "doc_id", "left_semi")
+    return rows.select("doc_id", *columns)
 
 
-def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of every line of every text, numbered in the document."""
-    lines = _docs(spark, sf_dir, F.posexplode(F.split("text", "\n")).alias("line", "t"))
+def sentence_rows(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Sentences of every line of every text (or of the documents of `only`), numbered in the document."""
+    lines = _docs(spark, sf_dir, F.posexplode(F.split("text", "\n")).alias("line", "t"), only=only)
     rows = lines.select("doc_id", "line", F.posexplode(sentences("t")).alias("k", "sentence"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k"))).select("doc_id", "n", "sentence")
 
 
-def sentence_hits(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+def sentence_hits(spark: SparkSession, sf_dir: str, query: str, only: DataFrame | None = None) -> DataFrame:
     """(doc_id, n, hits, distinct): words of a sentence whose stem the query asks for, and how many stems they have."""
     wanted = spark_sql(spark, sf_dir, f"SELECT word AS surface, stem FROM stem_dim WHERE stem IN ({composed.positive_stems_sql(SPARK, query)})")
-    tokens = sentence_rows(spark, sf_dir).select("doc_id", "n", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(TOKEN), F.lit(0))).alias("surface"))
+    tokens = sentence_rows(spark, sf_dir, only).select("doc_id", "n", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(TOKEN), F.lit(0))).alias("surface"))
     return tokens.join(wanted, "surface").groupBy("doc_id", "n").agg(F.count("*").alias("hits"), F.count_distinct("stem").alias("distinct"))
 
 
-def snippets(spark: SparkSession, sf_dir: str, query: str = "nd ing") -> DataFrame:
+def snippets(spark: SparkSession, sf_dir: str, query: str = "nd ing", only: DataFrame | None = None) -> DataFrame:
     """The two best sentences of every document for a query: by distinct stems, hits, then place."""
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.col("distinct") * 1000 + F.col("hits")), "n")
-    best = sentence_hits(spark, sf_dir, query).withColumn("rank", F.row_number().over(w)).where("rank <= 2")
-    return best.join(sentence_rows(spark, sf_dir), ["doc_id", "n"]).select("doc_id", "rank", "n", "sentence", "hits")
+    best = sentence_hits(spark, sf_dir, query, only).withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+    return best.join(sentence_rows(spark, sf_dir, only), ["doc_id", "n"]).select("doc_id", "rank", "n", "sentence", "hits")
 
 
 def document_view(spark: SparkSession, sf_dir: str, query: str = "nd ing") -> DataFrame:
@@ -118,13 +121,19 @@ def engine_search(spark: SparkSession, sf_dir: str, query: str, method: str = "b
     for w, near in found.items():
         if near:
             fixed = re.sub(rf"(?<!\w){re.escape(w)}(?![\w*~])", near[0], fixed, flags=re.I)
-    page = lambda q: spark_sql(spark, sf_dir, composed.engine_sql(SPARK, q, method, default, limit, fuzzy_words(spark, sf_dir)))
+
+    def page(q: str) -> DataFrame:
+        """At most `limit` rows, found once: they are asked whether there are any, and for their snippets."""
+        path = made(spark, "page")
+        spark_sql(spark, sf_dir, composed.engine_sql(SPARK, q, method, default, limit, fuzzy_words(spark, sf_dir))).write.parquet(path)
+        return spark.read.parquet(path)
+
     out, used = page(query), query
     if autocorrect and fixed != query and not out.limit(1).count():
         again = page(fixed)
         if again.limit(1).count():
             out, used = again, fixed
-    best = snippets(spark, sf_dir, used).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "sentence"))).alias("s"))
+    best = snippets(spark, sf_dir, used, out).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "sentence"))).alias("s"))
     shown = out.join(best.select("doc_id", F.array_join("s.sentence", " … ").alias("snippet")), "doc_id", "left")
     return shown, {"query": used, "words": composed.analyse(used), "corrections": found, "corrected": used != query}
 
