@@ -12,6 +12,7 @@ from corpuscope.operators.query_language import FIELDS, Compiler, parse, positiv
 from corpuscope.operators.zipf import relations as zipf_relations
 from corpuscope.plans.dialect import Dialect
 from corpuscope.plans.relations import TOKEN, VECTOR_WORD, WORD, WORD_HYPHEN
+from corpuscope.plans.tokens import Made
 
 #: Weightings that are compared; the first is the base.
 COMPARED = ("ltc", "nnn", "lnn", "ltn")
@@ -92,7 +93,7 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
     own = []
     if d.name == "spark":
         own = [
-            ("doc_words_asked", embedding._gathered("SELECT * FROM word_weights", "word", "ask_weights")),
+            ("doc_words_asked", Made("SELECT doc_id, words, tfs FROM dw_lists", lambda index, rows: scoring.asked_weights(index, rows, "w_stats", "word", "ask_weights"), ("w_stats", "ask_weights"))),
             ("stem_top", scoring.top("doc_vec", "doc_stems", "query_vec", "query_stems", {"tfidf-stem": (1.0, 0.0), "w2v-tfidf": (0.0, 1.0), "hybrid": (0.2, 0.8)})),
             ("word_top", scoring.top("mean_vec", "doc_words_asked", "ask_vec", "ask_weights", {"tfidf": (1.0, 0.0), "w2v-avg": (0.0, 1.0)}, key="word")),
         ]

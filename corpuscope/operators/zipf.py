@@ -27,12 +27,9 @@ def condition_sql(d: Dialect, condition: str) -> str:
 
 
 def _counts(d: Dialect) -> str:
-    """(condition, term, cf, df) in Spark: what a document has of a word is counted where it lies, so that words alone are shuffled."""
-    words = f"SELECT {d.all('lower(text)', d.words_a)} AS w FROM documents"
-    pair = "SELECT term, 1 AS c, 0 AS d FROM (SELECT explode(w) AS term FROM ({0}) AS l) AS x UNION ALL SELECT term, 0 AS c, 1 AS d FROM (SELECT explode(array_distinct(w)) AS term FROM ({0}) AS l) AS y".format(words)
-    own = {"B": ("word", "tf", "doc_words", "TRUE"), "C": ("word", "tf", "doc_words", "NOT stop"), "D": ("term", "tf", "doc_terms", "tf > 0"), "E": ("term", "n_all", "doc_terms", "TRUE")}
-    each = [f"SELECT '{c}' AS condition, {k} AS term, CAST(sum({n}) AS BIGINT) AS cf, count(*) AS df FROM {t} WHERE {where} GROUP BY {k}" for c, (k, n, t, where) in own.items()]
-    return " UNION ALL ".join([f"SELECT 'A' AS condition, term, CAST(sum(c) AS BIGINT) AS cf, CAST(sum(d) AS BIGINT) AS df FROM ({pair}) AS g GROUP BY term", *each])
+    """(condition, term, cf, df) in Spark, from the words that every task has counted."""
+    own = {"A": ("term", "cf", "df", "raw_parts"), "B": ("word", "cf", "df", "word_parts"), "C": ("word", "cf", "df", "word_parts WHERE NOT stop"), "D": ("term", "cf", "df", "term_parts WHERE df > 0"), "E": ("term", "n_all", "df_all", "term_parts")}
+    return " UNION ALL ".join(f"SELECT '{c}' AS condition, {k} AS term, CAST(sum({cf}) AS BIGINT) AS cf, CAST(sum({df}) AS BIGINT) AS df FROM {t} GROUP BY {k}" for c, (k, cf, df, t) in own.items())
 
 
 def relations(d: Dialect) -> list[tuple[str, str]]:

@@ -57,3 +57,38 @@ def test_first_keeps_ties_by_document():
         f.add(docs, np.ones((100, 1)), np.ones((100, 1), dtype=bool))
         f.cut()
     assert f.cut()[1].tolist() == list(range(scoring.DEPTH + scoring.SPARE))
+
+
+def test_bytes_are_cut_as_spark_cuts_texts(spark, tmp_path):
+    """Words, places, fields and sizes of texts of all kinds, against Spark's own expressions."""
+    from corpuscope.plans.relations import TOKEN, VECTOR_WORD
+
+    texts = ["Der ÄRGER-straße\nZwei 2-x 3-4 a-b--c -d 9a-1\nİstanbul ΣΑΣ", "İa İb\nx İc\ny", "plain Text, 7 the\n\nlast the", None, "", "\n", "a b  c\x85d", "٣٤ ½ x² ǅ", "a-1-b 1-a 12 -x- Kelvin K-b", "Ÿ ſ ŉ Þ×÷", "\x1c a\x1fb"]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("benchmark", "labels", "embeddings", "conversations", "pages"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    rows = lambda sql: sorted(map(tuple, spark_sql(spark, str(tmp_path), sql, relations(SPARK)).collect()), key=repr)
+    field = "CASE WHEN pos < nt THEN 'title' WHEN pos < nt + na THEN 'abstract' ELSE 'body' END"
+    lists = f"SELECT doc_id, {SPARK.all('lower(text)', TOKEN)} AS w, {SPARK.size(SPARK.all('title', TOKEN))} AS nt, {SPARK.size(SPARK.all('abstract', TOKEN))} AS na FROM docs"
+    assert rows("SELECT doc_id, pos, field, surface FROM tok") == rows(f"SELECT doc_id, CAST(pos AS BIGINT), {field}, surface FROM ({lists}) AS l LATERAL VIEW posexplode(w) AS pos, surface")
+    vector = f"SELECT doc_id, lower(x) AS word FROM documents LATERAL VIEW explode({SPARK.all('text', VECTOR_WORD)}) AS x"
+    want = rows(f"SELECT doc_id, word, count(*) FROM ({vector}) AS v WHERE length(word) > 1 AND word NOT IN (SELECT word FROM stop) GROUP BY doc_id, word")
+    assert want and rows("SELECT doc_id, word, tf FROM dw_tf") == want
+    white = f"SELECT doc_id, explode({SPARK.all('lower(text)', SPARK.words_a)}) AS x FROM documents"
+    assert rows("SELECT doc_id, n_a, d_a FROM doc_sizes WHERE n_a > 0") == rows(f"SELECT doc_id, count(*), count(DISTINCT x) FROM ({white}) AS a GROUP BY doc_id")
+    assert rows("SELECT term, CAST(sum(cf) AS BIGINT), CAST(sum(df) AS BIGINT) FROM raw_parts GROUP BY term") == rows(f"SELECT x, count(*), count(DISTINCT doc_id) FROM ({white}) AS a GROUP BY x")
+
+
+def test_long_batches_are_cut_by_bytes_and_counts_given_out_early(spark, monkeypatch):
+    import pyarrow as pa
+
+    from corpuscope.plans import tokens
+
+    monkeypatch.setattr(tokens, "BYTES", 10)
+    b = pa.RecordBatch.from_pydict({"text": ["x" * 30, "a", None, "b" * 9, "c"]})
+    assert [s.num_rows for s in tokens.slices([b])] == [1, 2, 2] or [s.num_rows for s in tokens.slices([b])] == [1, 3, 1]
+    held = tokens.Held("term_parts")
+    held.add(["a", "b"], [np.array([1, 2])] * 8)
+    held.add(["b", "c"], [np.array([3, 4])] * 8)
+    out = pa.Table.from_batches(held.rows()).to_pylist()
+    assert [(r["term"], r["cf"], r["max_tf"]) for r in out] == [("a", 1, 1), ("b", 5, 3), ("c", 4, 4)] and not held.at
