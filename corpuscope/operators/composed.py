@@ -11,7 +11,7 @@ from corpuscope.operators import embedding, evaluation, ranking, scoring
 from corpuscope.operators.query_language import FIELDS, Compiler, parse, positive_words, search_sql, term_score, words
 from corpuscope.operators.zipf import relations as zipf_relations
 from corpuscope.plans.dialect import Dialect
-from corpuscope.plans.relations import TOKEN, VECTOR_WORD, WORD, WORD_HYPHEN
+from corpuscope.plans.relations import TOKEN, VECTOR_WORD, WORD, WORD_HYPHEN, asked_only
 from corpuscope.plans.tokens import Made
 
 #: Weightings that are compared; the first is the base.
@@ -197,11 +197,15 @@ def _document_measures(d: Dialect) -> str:
       FROM docs x LEFT JOIN doc_len l ON l.doc_id = x.doc_id LEFT JOIN ({unique}) AS u ON u.doc_id = x.doc_id"""
 
 
+def _ranked_c(d: Dialect) -> str:
+    return "zipf"
+
+
 def _auto_terms(d: Dialect, n: int = 24) -> str:
     """A spread of terms of condition C: the most frequent, the most bursty, and some at fixed shares of the others' ranks."""
     third = n // 3
     shares = (0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3)
-    rows = "SELECT term, cf, df, rank FROM zipf WHERE condition = 'C'"
+    rows = f"SELECT term, cf, df, rank FROM {_ranked_c(d)} WHERE condition = 'C'"
     bursty = f"SELECT term FROM (SELECT term, row_number() OVER (ORDER BY round(cf / CAST(df AS DOUBLE), 9) DESC, rank) AS b FROM c_terms WHERE cf >= 20 AND df >= 3 AND rank > {third}) AS z WHERE b <= {third}"
     rest = f"SELECT c.term, c.cf, c.df, c.rank, row_number() OVER (ORDER BY c.rank) - 1 AS k, count(*) OVER () AS size FROM c_terms c LEFT JOIN ({bursty}) AS b ON b.term = c.term WHERE c.rank > {third} AND b.term IS NULL AND {d.rx('c.term', '^' + WORD + '$')}"
     wanted = " UNION ALL ".join(f"SELECT {i} AS i, {s}e0 AS s" for i, s in enumerate(shares))
@@ -241,7 +245,7 @@ QUERIES = {
     "a4_document_measures": _document_measures,
     "a4_field_top_terms": lambda d: "SELECT doc_id, field, term, tf, rank FROM (SELECT doc_id, field, term, tf, row_number() OVER (PARTITION BY doc_id, field ORDER BY tf DESC, term) AS rank FROM field_postings) AS x WHERE rank <= 5",
     "a14_auto_terms": _auto_terms,
-    "a14_scatter": lambda d: "SELECT term, cf, df FROM zipf WHERE condition = 'C' AND rank <= 1500",
+    "a14_scatter": lambda d: f"SELECT term, cf, df FROM {_ranked_c(d)} WHERE condition = 'C' AND rank <= 1500",
     "t6_list_comparison": _lists,
     "t22_word_list": _word_list,
     "t10_stemmed_words": lambda d: "SELECT t.doc_id, coalesce(s.stem, t.word) AS term, CAST(sum(t.tf) AS BIGINT) AS tf FROM dw_tf t LEFT JOIN stem_dim s ON s.word = t.word GROUP BY t.doc_id, coalesce(s.stem, t.word)",

@@ -30,7 +30,7 @@ SCHEMAS = {
     "top_terms": "term string, tf bigint, rank int",
     "doc_sizes": "n_a bigint, d_a bigint, n_b bigint, d_b bigint, n_c bigint, d_c bigint, n_d bigint, d_d bigint, n_e bigint, d_e bigint, max_d bigint, f_title bigint, f_abstract bigint, f_body bigint, n_v bigint, d_v bigint, max_v bigint",
 }
-#: Counts of words that a task gives back, summed or (max_) the largest; a word may come several times.
+#: Counts of words, summed or (max_) the largest; a task may give a word back several times.
 PARTS = {
     "raw_parts": ("term string", ("cf", "df")),
     "word_parts": ("word string, stem string, stop boolean", ("cf", "df")),
@@ -163,9 +163,13 @@ def _kept(bag: Bag) -> np.ndarray:
     return np.array([w not in stop for w in bag.words], dtype=bool)[bag.code] if len(bag.code) else np.zeros(0, dtype=bool)
 
 
-def _tok(ids: pa.Array, b: pa.RecordBatch) -> dict:
+def _tok(ids: pa.Array, b: pa.RecordBatch, asked: Callable[[str], bool] | None = None) -> dict:
+    """Tokens; only those of the stems that are asked for, at their places, where some are."""
     bag, stop = Bag(b), set(STOP_WORDS)
     stems = _stemmed(bag.words)
+    if asked:
+        at = np.array([asked(s) for s in stems], dtype=bool)[bag.code] if len(bag.code) else np.zeros(0, dtype=bool)
+        bag.code, bag.doc, bag.pos = bag.code[at], bag.doc[at], bag.pos[at]
     place = (bag.pos >= bag.nt[bag.doc]).astype(np.int8) + (bag.pos >= (bag.nt + bag.na)[bag.doc])
     of = lambda rows: pa.array(rows, pa.string()).take(pa.array(bag.code))
     return {"doc_id": ids.take(pa.array(bag.doc)), "pos": bag.pos, "field": _FIELDS.take(pa.array(place)), "surface": of(bag.words), "stem": of(stems), "term": of([None if w in stop else s for w, s in zip(bag.words, stems, strict=True)])}
@@ -304,14 +308,18 @@ class Held:
 
 
 class Made(str):
-    """A relation that `make` gives of a query's rows, where what it `needs` has been written before: (index, rows) to rows."""
+    """A relation that `make` gives of a query's rows, where what it `needs` has been written before: (index, rows) to rows.
+
+    Written, unless one relation alone reads it.
+    """
 
     make: Callable
     needs: tuple[str, ...]
+    stored: bool
 
-    def __new__(cls, sql: str, make: Callable, needs: tuple[str, ...] = ()):
+    def __new__(cls, sql: str, make: Callable, needs: tuple[str, ...] = (), stored: bool = True):
         out = super().__new__(cls, sql)
-        out.make, out.needs = make, needs
+        out.make, out.needs, out.stored = make, needs, stored
         return out
 
 
@@ -330,8 +338,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             i = z
 
 
-def made_of(listed: DataFrame, name: str) -> DataFrame:
-    """The rows of a kind from documents (doc_id, text, w, and wa, nt, na where they count)."""
+def made_of(listed: DataFrame, name: str, asked: Callable[[str], bool] | None = None) -> DataFrame:
+    """The rows of a kind from documents (doc_id, text, w, and wa, nt, na where they count); tokens of stems asked for alone."""
     if name in PARTS:
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +356,7 @@ def made_of(listed: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            columns = make(b["doc_id"], b)
+            columns = make(b["doc_id"], b, asked) if asked else make(b["doc_id"], b)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
     return listed.mapInArrow(run, f"doc_id {listed.schema['doc_id'].dataType.simpleString()}, {SCHEMAS[name]}")
@@ -356,3 +364,16 @@ def made_of(listed: DataFrame, name: str) -> DataFrame:
 
 def tokens(name: str, sql: str) -> tuple[str, Made]:
     return name, Made(sql, lambda index, listed: made_of(listed, name))
+
+
+def counts(name: str, sql: str) -> list[tuple[str, str]]:
+    """A relation of PARTS, one row a word, and what the tasks give back of it, which is summed at once and not written."""
+    key, columns = PARTS[name]
+    keys = ", ".join(k.split()[0] for k in key.split(", "))
+    total = ", ".join(f"max({c}) AS {c}" if c.startswith("max_") else f"CAST(sum({c}) AS BIGINT) AS {c}" for c in columns)
+    each = f"{name}_by_task"
+    return [(each, Made(sql, lambda index, listed: made_of(listed, name), stored=False)), (name, f"SELECT {keys}, {total} FROM {each} GROUP BY {keys}")]
+
+
+def asked_for(stems: frozenset[str], prefixes: tuple[str, ...]) -> Callable[[str], bool]:
+    return lambda s: s in stems or s.startswith(prefixes)
