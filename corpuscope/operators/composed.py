@@ -61,7 +61,8 @@ def spans_sql(d: Dialect, query: str, source: str, key: str, text: str) -> str:
 
 def engine_sql(d: Dialect, query: str, method: str = "bm25", default: str = "AND", limit: int = 10, fuzzy: Callable[[str, int], list[str]] | None = None) -> str:
     """The first `limit` documents with their scores by field, hits by term, clause and field, match map and measures."""
-    m = Compiler(d, fuzzy).compile(parse(query, default))
+    compiler = Compiler(d, fuzzy)
+    m = compiler.compile(parse(query, default))
     top = search_sql(d, query, method, default, "all", fuzzy, limit)
     hits = f"SELECT DISTINCT h.doc_id, h.term, h.pos, h.field FROM ({m.hits}) AS h JOIN top_docs t ON t.doc_id = h.doc_id"
     part = term_score(method, "f.tf", "s.df", "l.length", "a.avg_len")
@@ -72,13 +73,16 @@ def engine_sql(d: Dialect, query: str, method: str = "bm25", default: str = "AND
     terms = f"SELECT doc_id, {d.join_sorted(f'concat(term, chr(58), {text})', 'term', ' ')} AS term_hits FROM (SELECT doc_id, term, count(*) AS n FROM top_hits GROUP BY doc_id, term) AS q GROUP BY doc_id"
     clauses = f"SELECT doc_id, {d.join_sorted(f'concat(label, chr(61), {text})', 'label', ' | ')} AS clause_hits FROM (SELECT x.doc_id, x.label, CAST(sum(x.n) AS BIGINT) AS n FROM ({m.labels}) AS x JOIN top_docs t ON t.doc_id = x.doc_id GROUP BY x.doc_id, x.label) AS q GROUP BY doc_id"
     lengths = "SELECT k.doc_id, count(CASE WHEN k.field = 'title' THEN 1 END) AS nt, count(CASE WHEN k.field = 'abstract' THEN 1 END) AS na, count(CASE WHEN k.field = 'body' THEN 1 END) AS nb FROM tok k JOIN top_docs t ON t.doc_id = k.doc_id GROUP BY k.doc_id"
+    if d.name == "spark":  # the tokens of the first documents alone are counted, in their texts
+        sizes = f"SELECT x.doc_id, {d.size(d.all('lower(x.text)', TOKEN))} AS n, {d.size(d.all('x.title', TOKEN))} AS nt, {d.size(d.all('x.abstract', TOKEN))} AS na FROM docs x JOIN top_docs t ON t.doc_id = x.doc_id"
+        lengths = f"SELECT doc_id, least(nt, n) AS nt, least(na, n - least(nt, n)) AS na, greatest(n - nt - na, 0) AS nb FROM ({sizes}) AS z"
     bins = f"SELECT h.doc_id, CASE h.field WHEN 'title' THEN CAST(floor(h.pos * 4e0 / r.nt) AS BIGINT) WHEN 'abstract' THEN 4 + CAST(floor((h.pos - r.nt) * 8e0 / r.na) AS BIGINT) ELSE 12 + CAST(floor((h.pos - r.nt - r.na) * 28e0 / r.nb) AS BIGINT) END AS bin FROM top_hits h JOIN ({lengths}) AS r ON r.doc_id = h.doc_id"
     maps = f"SELECT doc_id, {d.join_sorted(f'concat(CAST(bin AS {d.text}), chr(58), {text})', 'bin', ' ')} AS match_map FROM (SELECT doc_id, bin, count(*) AS n FROM ({bins}) AS b GROUP BY doc_id, bin) AS q GROUP BY doc_id"
     stats = f"SELECT t.doc_id, CAST(length(x.text) AS BIGINT) AS characters, CAST({d.size(d.all('x.text', WORD))} AS BIGINT) AS words, l.length AS index_terms, l.n_terms AS unique_terms FROM top_docs t JOIN documents x ON x.doc_id = t.doc_id LEFT JOIN doc_len l ON l.doc_id = t.doc_id"
-    return f"""SELECT * FROM (WITH top_docs AS ({top}), top_hits AS ({hits}) SELECT t.rank, t.doc_id, t.score, s.score_title, s.score_abstract, s.score_body, coalesce(f.total_hits, 0) AS total_hits,
+    return compiler.asked(f"""SELECT * FROM (WITH top_docs AS ({top}), top_hits AS ({hits}) SELECT t.rank, t.doc_id, t.score, s.score_title, s.score_abstract, s.score_body, coalesce(f.total_hits, 0) AS total_hits,
       coalesce(f.title_hits, 0) AS title_hits, coalesce(f.abstract_hits, 0) AS abstract_hits, coalesce(f.body_hits, 0) AS body_hits, q.term_hits, c.clause_hits, p.match_map, x.characters, x.words, x.index_terms, x.unique_terms
       FROM top_docs t LEFT JOIN ({scores}) AS s ON s.doc_id = t.doc_id LEFT JOIN ({fields}) AS f ON f.doc_id = t.doc_id LEFT JOIN ({terms}) AS q ON q.doc_id = t.doc_id
-      LEFT JOIN ({clauses}) AS c ON c.doc_id = t.doc_id LEFT JOIN ({maps}) AS p ON p.doc_id = t.doc_id JOIN ({stats}) AS x ON x.doc_id = t.doc_id) AS page"""
+      LEFT JOIN ({clauses}) AS c ON c.doc_id = t.doc_id LEFT JOIN ({maps}) AS p ON p.doc_id = t.doc_id JOIN ({stats}) AS x ON x.doc_id = t.doc_id) AS page""")
 
 
 # -- weightings and methods side by side ------------------------------------------------------------------------------
