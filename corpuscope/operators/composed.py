@@ -253,5 +253,5 @@ QUERIES = {
     "t6_list_comparison": _lists,
     "t22_word_list": _word_list,
     "t10_stemmed_words": lambda d: "SELECT t.doc_id, coalesce(s.stem, t.word) AS term, CAST(sum(t.tf) AS BIGINT) AS tf FROM dw_tf t LEFT JOIN stem_dim s ON s.word = t.word GROUP BY t.doc_id, coalesce(s.stem, t.word)",
-    "j_semi": lambda d: "SELECT x.doc_id, x.lang FROM documents x WHERE EXISTS (SELECT 1 FROM doc_words p WHERE p.stem = 'nd' AND NOT p.stop AND p.doc_id = x.doc_id) AND EXISTS (SELECT 1 FROM doc_words WHERE word = 'nd')" if d.name == "spark" else "SELECT x.doc_id, x.lang FROM documents x WHERE EXISTS (SELECT 1 FROM postings p JOIN stem_dim s ON s.stem = p.term WHERE s.word = 'nd' AND p.doc_id = x.doc_id)",
+    "j_semi": lambda d: asked_only("SELECT x.doc_id, x.lang FROM documents x WHERE EXISTS (SELECT 1 FROM tok p WHERE p.term = 'nd' AND p.doc_id = x.doc_id) AND EXISTS (SELECT 1 FROM tok WHERE surface = 'nd')", {"nd"}, set()) if d.name == "spark" else "SELECT x.doc_id, x.lang FROM documents x WHERE EXISTS (SELECT 1 FROM postings p JOIN stem_dim s ON s.stem = p.term WHERE s.word = 'nd' AND p.doc_id = x.doc_id)",
 }
