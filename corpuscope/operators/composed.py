@@ -202,7 +202,7 @@ def _document_measures(d: Dialect) -> str:
 
 
 def _ranked_c(d: Dialect) -> str:
-    return "zipf"
+    return "zipf_c" if d.name == "spark" else "zipf"
 
 
 def _auto_terms(d: Dialect, n: int = 24) -> str:

@@ -27,23 +27,33 @@ def condition_sql(d: Dialect, condition: str) -> str:
 
 
 def _counts(d: Dialect) -> str:
-    """(condition, term, cf, df) in Spark, from the words that every task has counted."""
-    own = {"A": ("term", "cf", "df", "raw_parts"), "B": ("word", "cf", "df", "word_parts"), "C": ("word", "cf", "df", "word_parts WHERE NOT stop"), "D": ("term", "cf", "df", "term_parts WHERE df > 0"), "E": ("term", "n_all", "df_all", "term_parts")}
-    return " UNION ALL ".join(f"SELECT '{c}' AS condition, {k} AS term, CAST(sum({cf}) AS BIGINT) AS cf, CAST(sum({df}) AS BIGINT) AS df FROM {t} GROUP BY {k}" for c, (k, cf, df, t) in own.items())
+    """(condition, term, cf, df) in Spark, from the counted words."""
+    own = {"A": "term, cf, df FROM raw_parts", "B": "word, cf, df FROM word_parts", "C": "word, cf, df FROM word_parts WHERE NOT stop", "D": "term, cf, df FROM term_parts WHERE df > 0", "E": "term, n_all, df_all FROM term_parts"}
+    return " UNION ALL ".join(f"SELECT '{c}' AS condition, {q.replace(',', ' AS term,', 1).replace('n_all, df_all', 'n_all AS cf, df_all AS df')}" for c, q in own.items())
+
+
+def _ranks(name: str, counts: str) -> list[tuple[str, str]]:
+    """(condition, term, cf, df, rank) of a relation of counts, and what it is made of."""
+    return [
+        (f"{name}_groups", f"SELECT condition, cf, substr(term, 1, 2) AS head, count(*) AS n FROM {counts} GROUP BY condition, cf, substr(term, 1, 2)"),
+        (f"{name}_offsets", f"SELECT condition, cf, head, CAST(coalesce(sum(n) OVER (PARTITION BY condition ORDER BY cf DESC, head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM {name}_groups"),
+        (name, f"SELECT z.condition, z.term, z.cf, z.df, o.ahead + row_number() OVER (PARTITION BY z.condition, z.cf, substr(z.term, 1, 2) ORDER BY z.term) AS rank FROM {counts} z JOIN {name}_offsets o ON o.condition = z.condition AND o.cf = z.cf AND o.head = substr(z.term, 1, 2)"),
+    ]
 
 
 def relations(d: Dialect) -> list[tuple[str, str]]:
+    spark = d.name == "spark"
     each = " UNION ALL ".join(f"SELECT '{c}' AS condition, term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM ({condition_sql(d, c)}) AS t GROUP BY doc_id, term) AS g GROUP BY term" for c in CONDITIONS)
     return [
-        ("zipf_counts", _counts(d) if d.name == "spark" else each),
+        ("zipf_counts", _counts(d) if spark else each),
         # a rank is what stands before a term's group (frequency, first letters), from a small histogram, and its place in the group:
         # no task sorts a whole vocabulary
-        ("zipf_groups", "SELECT condition, cf, substr(term, 1, 2) AS head, count(*) AS n FROM zipf_counts GROUP BY condition, cf, substr(term, 1, 2)"),
-        ("zipf_offsets", "SELECT condition, cf, head, CAST(coalesce(sum(n) OVER (PARTITION BY condition ORDER BY cf DESC, head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM zipf_groups"),
-        ("zipf", "SELECT z.condition, z.term, z.cf, z.df, o.ahead + row_number() OVER (PARTITION BY z.condition, z.cf, substr(z.term, 1, 2) ORDER BY z.term) AS rank FROM zipf_counts z JOIN zipf_offsets o ON o.condition = z.condition AND o.cf = z.cf AND o.head = substr(z.term, 1, 2)"),
+        *_ranks("zipf", "zipf_counts"),
         ("zipf_logs", "SELECT condition, term, cf, df, rank, log10(CAST(rank AS DOUBLE)) AS x, log10(CAST(cf AS DOUBLE)) AS y FROM zipf"),
         ("zipf_fit", "SELECT condition, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2 FROM zipf_logs GROUP BY condition"),
-        ("power", "SELECT z.condition, z.term, z.cf, z.df, z.rank, log10(CAST(n.n AS DOUBLE) / z.df) AS idf, z.cf * log10(CAST(n.n AS DOUBLE) / z.df) AS power FROM zipf z JOIN n_docs n ON 1 = 1 WHERE z.condition = 'C'"),
+        # in Spark condition C is counted and ranked by itself, and zones, which ask for no rank, read the counts of B
+        *([("zipf_c_counts", "SELECT 'C' AS condition, word AS term, cf, df FROM word_parts WHERE NOT stop"), *_ranks("zipf_c", "zipf_c_counts")] if spark else []),
+        ("power", "SELECT z.condition, z.term, z.cf, z.df, z.rank, log10(CAST(n.n AS DOUBLE) / z.df) AS idf, z.cf * log10(CAST(n.n AS DOUBLE) / z.df) AS power FROM zipf z JOIN n_docs n ON 1 = 1 WHERE z.condition = 'C'".replace("FROM zipf ", "FROM zipf_c " if spark else "FROM zipf ")),
         ("zone", f"SELECT m.condition, m.term, m.cf, m.df, m.rank, {_zone(d)} AS zone FROM (SELECT z.*, z.df / CAST(n.n AS DOUBLE) AS spread, z.cf / CAST(z.df AS DOUBLE) AS burst FROM zipf z JOIN n_docs n ON 1 = 1 WHERE z.condition = 'B') AS m"),
     ]
 

@@ -39,3 +39,14 @@ def test_a_search_writes_the_tokens_of_its_stems_alone(spark, index):
 def test_names_in_a_search_are_left_alone():
     sql = asked_only("SELECT doc_id, 'say FROM tok \\' JOIN hits' AS label FROM hits JOIN term_stats s ON 1 = 1", {"nd"}, set())
     assert "'say FROM tok \\' JOIN hits'" in sql and "FROM hits_" in sql and "JOIN term_stats_" in sql
+
+
+@pytest.mark.parametrize("name", ["a13_power", "a13_median_curve"])
+def test_one_condition_counts_one_kind_of_word(index, name, spark):
+    assert run(index, name)
+    assert not {"raw_parts", "term_parts", "zipf"} & set(index.views)
+    words = spark.table(index.views["word_parts"])  # one row a word, and nothing by task is written
+    assert words.count() == words.select("word").distinct().count()
+    made = spark._jvm.org.apache.hadoop.fs.Path(index.path)
+    written = {f.getPath().getName() for f in made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(made)}
+    assert not {n for n in written if n.endswith("_by_task")}
