@@ -93,6 +93,10 @@ def _median_curve(d: Dialect) -> str:
     """Running median of the resolving power at thinned ranks: the first sixty, then seventy a decade."""
     thin = f"SELECT DISTINCT CASE WHEN i.i <= 60 THEN i.i ELSE CAST(floor(60 * power(10e0, (i.i - 60) / 70e0) + 1e-9) AS BIGINT) END AS r FROM ({d.series('i', '1', '480')}) AS i"
     window = f"p.rank >= greatest(1, least(t.r - {SPAN_LEAST}, CAST(floor(t.r / {SPAN:.12f}e0) AS BIGINT))) AND p.rank <= greatest(t.r + {SPAN_LEAST}, CAST(floor(t.r * {SPAN:.12f}e0) AS BIGINT))"
+    if d.name == "spark":  # equal powers meet as counts, so that no window's values are gathered in a list
+        counted = f"SELECT t.r, p.power, count(*) AS n FROM ({thin}) AS t JOIN (SELECT count(*) AS v FROM power) AS m ON t.r <= m.v JOIN power p ON {window} GROUP BY t.r, p.power"
+        summed = f"SELECT r, power, sum(n) OVER (PARTITION BY r ORDER BY power) AS below, sum(n) OVER (PARTITION BY r) AS size FROM ({counted}) AS c"
+        return f"SELECT r AS rank, round(min(power), 4) AS power FROM ({summed}) AS s WHERE below > floor(size / 2) GROUP BY r"
     return f"SELECT t.r AS rank, round({d.median('p.power')}, 4) AS power FROM ({thin}) AS t JOIN (SELECT count(*) AS v FROM power) AS m ON t.r <= m.v JOIN power p ON {window} GROUP BY t.r"
 
 

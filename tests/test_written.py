@@ -50,3 +50,8 @@ def test_one_condition_counts_one_kind_of_word(index, name, spark):
     made = spark._jvm.org.apache.hadoop.fs.Path(index.path)
     written = {f.getPath().getName() for f in made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(made)}
     assert not {n for n in written if n.endswith("_by_task")}
+
+
+def test_the_median_curve_gathers_no_list(index):
+    q, relations = catalog._sql()["a13_median_curve"]
+    assert "collect_list" not in index.query(q(SPARK), relations(SPARK))._jdf.queryExecution().optimizedPlan().toString()
