@@ -54,7 +54,7 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
         # in Spark condition C is counted and ranked by itself, and zones, which ask for no rank, read the counts of B
         *([("zipf_c_counts", "SELECT 'C' AS condition, word AS term, cf, df FROM word_parts WHERE NOT stop"), *_ranks("zipf_c", "zipf_c_counts")] if spark else []),
         ("power", "SELECT z.condition, z.term, z.cf, z.df, z.rank, log10(CAST(n.n AS DOUBLE) / z.df) AS idf, z.cf * log10(CAST(n.n AS DOUBLE) / z.df) AS power FROM zipf z JOIN n_docs n ON 1 = 1 WHERE z.condition = 'C'".replace("FROM zipf ", "FROM zipf_c " if spark else "FROM zipf ")),
-        ("zone", f"SELECT m.condition, m.term, m.cf, m.df, m.rank, {_zone(d)} AS zone FROM (SELECT z.*, z.df / CAST(n.n AS DOUBLE) AS spread, z.cf / CAST(z.df AS DOUBLE) AS burst FROM zipf z JOIN n_docs n ON 1 = 1 WHERE z.condition = 'B') AS m"),
+        ("zone", f"SELECT 'B' AS condition, m.term, m.cf, m.df, {_zone(d)} AS zone FROM (SELECT w.word AS term, w.cf, w.df, w.df / CAST(n.n AS DOUBLE) AS spread, w.cf / CAST(w.df AS DOUBLE) AS burst FROM word_parts w JOIN n_docs n ON 1 = 1) AS m" if spark else f"SELECT m.condition, m.term, m.cf, m.df, m.rank, {_zone(d)} AS zone FROM (SELECT z.*, z.df / CAST(n.n AS DOUBLE) AS spread, z.cf / CAST(z.df AS DOUBLE) AS burst FROM zipf z JOIN n_docs n ON 1 = 1 WHERE z.condition = 'B') AS m"),
     ]
 
 

@@ -41,7 +41,7 @@ def test_names_in_a_search_are_left_alone():
     assert "'say FROM tok \\' JOIN hits'" in sql and "FROM hits_" in sql and "JOIN term_stats_" in sql
 
 
-@pytest.mark.parametrize("name", ["a13_power", "a13_median_curve"])
+@pytest.mark.parametrize("name", ["a13_power", "a13_median_curve", "a12_cfdf_zones"])
 def test_one_condition_counts_one_kind_of_word(index, name, spark):
     assert run(index, name)
     assert not {"raw_parts", "term_parts", "zipf"} & set(index.views)
