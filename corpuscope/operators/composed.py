@@ -101,6 +101,14 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
             ("stem_top", scoring.top("doc_vec", "doc_stems", "query_vec", "query_stems", {"tfidf-stem": (1.0, 0.0), "w2v-tfidf": (0.0, 1.0), "hybrid": (0.2, 0.8)})),
             ("word_top", scoring.top("mean_vec", "doc_words_asked", "ask_vec", "ask_weights", {"tfidf": (1.0, 0.0), "w2v-avg": (0.0, 1.0)}, key="word")),
         ]
+        own += [
+            ("query_nnc", ranking.query_weights_sql("nnc")),
+            ("ltc_stems", Made("SELECT doc_id, words, tfs FROM vsm_lists", lambda index, rows: scoring.asked_weights(index, rows, "vsm_term", "term", "query_nnc"), ("vsm_term", "query_nnc"), stored=False)),
+            ("ltc_top", scoring.term_top("SELECT doc_id, terms, ws FROM ltc_stems", "query_nnc", {"ltc": "n"})),
+            ("plain_top", scoring.term_top("SELECT doc_id, words AS terms, tfs AS ws FROM vsm_lists", "query_nnc", {"nnn": "n", "lnn": "l", "ltn": "lt"})),
+        ]
+        first = "SELECT run_id, item_id, doc_id, score, row_number() OVER (PARTITION BY run_id, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT * FROM ltc_top UNION ALL SELECT * FROM plain_top) AS t"
+        schemes = f"SELECT run_id, item_id, doc_id, round(score, 6) AS score, rank FROM ({first}) AS r WHERE rank <= {k}"
         ranked = f"SELECT run_id, item_id, doc_id, score, row_number() OVER (PARTITION BY run_id, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT * FROM stem_top UNION ALL SELECT * FROM word_top) AS t"
         methods = f"SELECT run_id, item_id, doc_id, round(score, 6) AS score, rank FROM ({ranked}) AS r WHERE rank <= {k}"
     return [
@@ -164,7 +172,12 @@ def _relevant(d: Dialect) -> str:
 
 def _search_labelled(d: Dialect) -> str:
     """First ten of every text with grade and the terms that matched."""
-    terms = f"SELECT item_id, doc_id, {d.join_sorted('term', 'term', ' ')} AS terms FROM ({ranking._contributions(d)}) AS c GROUP BY item_id, doc_id"
+    common = ranking._contributions(d)
+    if d.name == "spark":  # terms of the documents that were found, not of all that share one
+        found = "SELECT item_id, doc_id FROM scheme_run WHERE run_id = 'ltc' AND rank <= 10"
+        words = f"SELECT f.item_id, f.doc_id, explode(v.words) AS term FROM vsm_lists v JOIN ({found}) AS f ON f.doc_id = v.doc_id"
+        common = f"SELECT w.item_id, w.doc_id, w.term FROM ({words}) AS w JOIN query_nnc q ON q.item_id = w.item_id AND q.term = w.term JOIN vsm_term s ON s.term = w.term JOIN n_docs n ON s.df < n.n"
+    terms = f"SELECT item_id, doc_id, {d.join_sorted('term', 'term', ' ')} AS terms FROM ({common}) AS c GROUP BY item_id, doc_id"
     return f"SELECT r.item_id, r.rank, r.doc_id, r.score, g.grade, t.terms FROM (SELECT * FROM scheme_run WHERE run_id = 'ltc' AND rank <= 10) AS r LEFT JOIN grades g ON g.doc_id = r.doc_id LEFT JOIN ({terms}) AS t ON t.item_id = r.item_id AND t.doc_id = r.doc_id"
 
 

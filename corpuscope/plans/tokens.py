@@ -35,6 +35,7 @@ PARTS = {
     "raw_parts": ("term string", ("cf", "df")),
     "word_parts": ("word string, stem string, stop boolean", ("cf", "df")),
     "term_parts": ("term string", ("n_all", "df_all", "cf", "df", "max_tf", "cf_v", "df_v", "max_v")),
+    "vsm_parts": ("term string", ("cf_v", "df_v", "max_v")),
     "w_parts": ("word string", ("cf", "df")),
 }
 TOP = 15
@@ -272,6 +273,12 @@ def _word_counts(b: pa.RecordBatch, name: str) -> tuple[list[str], list[np.ndarr
         stems, _, term, n, tf, title, abstract, _ = _by_stem(Bag(b))
         v, one, k = title + abstract, np.ones(len(term)), len(stems)
         return stems, [*_summed(term, k, n, one, tf, tf > 0), _largest(term, k, tf), *_summed(term, k, v, v > 0), _largest(term, k, v)]
+    if name == "vsm_parts":  # stems of title and abstract
+        stems, _, term, _, _, title, abstract, _ = _by_stem(Bag(b))
+        v = title + abstract
+        n, df = _summed(term, len(stems), v, v > 0)
+        at = np.flatnonzero(df)
+        return [stems[i] for i in at], [n[at], df[at], _largest(term, len(stems), v)[at]]
     bag = trained(Bag(b, "vector")) if name == "w_parts" else Bag(b, "white", "wa") if name == "raw_parts" else Bag(b)
     _, word, n = bag.counts()
     cf, df = _summed(word, len(bag.words), n, np.ones(len(n)))
@@ -375,5 +382,19 @@ def counts(name: str, sql: str) -> list[tuple[str, str]]:
     return [(each, Made(sql, lambda index, listed: made_of(listed, name), stored=False)), (name, f"SELECT {keys}, {total} FROM {each} GROUP BY {keys}")]
 
 
+def words_there(index, listed: DataFrame, asked: str) -> DataFrame:
+    """(word, stem) of the words of a written relation that documents have, once a task."""
+    wanted = frozenset(r["word"] for r in index.spark.table(index.views[asked]).collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in slices(batches):
+            seen.update(wanted.intersection(Bag(b).words))
+        there = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.string()), pa.array(_stemmed(there), pa.string())], names=["word", "stem"])
+
+    return listed.mapInArrow(run, "word string, stem string")
+
+
 def asked_for(stems: frozenset[str], prefixes: tuple[str, ...]) -> Callable[[str], bool]:
     return lambda s: s in stems or s.startswith(prefixes)

@@ -2,10 +2,12 @@
 
 import uuid
 
+import duckdb
 import pytest
 
 from corpuscope import catalog
 from corpuscope.functions.porter import stem
+from corpuscope.operators import scoring
 from corpuscope.plans.dialect import SPARK
 from corpuscope.plans.relations import Index, asked_only
 
@@ -55,3 +57,27 @@ def test_one_condition_counts_one_kind_of_word(index, name, spark):
 def test_the_median_curve_gathers_no_list(index):
     q, relations = catalog._sql()["a13_median_curve"]
     assert "collect_list" not in index.query(q(SPARK), relations(SPARK))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weightings_are_ranked_where_documents_lie(spark, index):
+    assert run(index, "e10_vsm_search")
+    assert not {"doc_terms", "term_parts", "word_parts", "doc_stems"} & set(index.views)
+    q, relations = catalog._sql()["e10_vsm_search"]
+    items = spark.table(index.views["query_nnc"]).select("item_id").distinct().count()
+    parts = spark.table(index.views["vsm_lists"]).rdd.getNumPartitions()
+    assert 0 < index.query("SELECT * FROM plain_top", relations(SPARK)).count() <= parts * items * 3 * (scoring.DEPTH + scoring.SPARE)
+
+
+def test_weightings_of_several_blocks_equal_the_oracle(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "ITEMS", 3)
+    index = Index(spark, SF, uuid.uuid4().hex)
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = c.execute(catalog.oracle_sql()["e10_vsm_search"])
+    at = [x[0] for x in want.description]
+    place = at.index("score")
+    got = sorted(tuple(r[n] for n in at) for r in run(index, "e10_vsm_search"))
+    want = sorted(want.fetchall())
+    assert [r[:place] + r[place + 1 :] for r in got] == [r[:place] + r[place + 1 :] for r in want]
+    assert [r[place] for r in got] == pytest.approx([r[place] for r in want], abs=2e-6)
