@@ -3,11 +3,12 @@
 import uuid
 
 import duckdb
+import numpy as np
 import pytest
 
 from corpuscope import catalog
 from corpuscope.functions.porter import stem
-from corpuscope.operators import scoring
+from corpuscope.operators import models, scoring
 from corpuscope.plans.dialect import SPARK
 from corpuscope.plans.relations import Index, asked_only
 
@@ -97,3 +98,25 @@ def test_a_vector_without_length_is_last(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0, 1.0]), ("d", None), ("e", [-1.0, 0.0])], "word string, vec array<double>")
     got = scoring._near(rows.coalesce(1), ["a"], [[1.0, 0.0]], 8).collect()
     assert [(r["near"], None if r["sim"] is None else round(r["sim"], 6)) for r in got] == [("c", 0.707107), ("e", -1.0), ("b", None), ("d", None)]
+
+
+def test_a_large_corpus_is_trained_by_shards(spark, tmp_path, monkeypatch):
+    """Every word that a single task would train has a vector, words that share a context are nearer than others."""
+    r = np.random.default_rng(3)
+    groups = [[f"{g}{i:02d}" for i in range(12)] for g in "abc"]
+    lines = [[str(w) for w in r.choice(groups[k % 3], 8)] for k in range(3000)] + [["rare", "once"], ["rare", "a00"]]
+    rows = spark.createDataFrame([(m, x) for m in ("sg-x", "cbow-x") for x in lines], "model string, words array<string>")
+    asked = {"dim": 8, "epochs": 4, "least": 2, "sample": 1.0, "rate": 0.1}
+    folder = lambda name: str(tmp_path / uuid.uuid4().hex)
+    one = {(x["model"], x["word"]): x for x in models.train_models(rows, **asked).collect()}
+    assert {(x["model"], x["word"], tuple(x["vec"])) for x in models.train_corpus(rows, folder, **asked).collect()} == {(*k, tuple(x["vec"])) for k, x in one.items()}
+    monkeypatch.setattr(models, "MAX_TOKENS", 100)
+    monkeypatch.setattr(models, "SHARD", 9000)
+    many = {(x["model"], x["word"]): x for x in models.train_corpus(rows, folder, **asked).collect()}
+    assert {k: (x["count"], x["rank"]) for k, x in many.items()} == {k: (x["count"], x["rank"]) for k, x in one.items()}
+    for found in (one, many):
+        x = np.array([found["sg-x", w]["vec"] for g in groups for w in g])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        same = np.kron(np.eye(3), np.ones((12, 12))) - np.eye(36)
+        sims = x @ x.T
+        assert (sims * same).sum() / same.sum() > (sims * (1 - same - np.eye(36))).sum() / (1 - same - np.eye(36)).sum() + 0.3
