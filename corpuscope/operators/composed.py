@@ -96,12 +96,15 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
     seen = {n for n, _ in evaluation.relations(d)}
     own = []
     if d.name == "spark":
+        runs = {
+            "tfidf-stem": (scoring.STEM, None, 1.0, 0.0),
+            "tfidf": (scoring.WORD, None, 1.0, 0.0),
+            "w2v-avg": (None, scoring.MEAN, 0.0, 1.0),
+            "w2v-tfidf": (None, scoring.WEIGHTED, 0.0, 1.0),
+            "hybrid": (scoring.STEM, scoring.WEIGHTED, 0.2, 0.8),
+        }
         own = [
-            ("doc_words_asked", Made("SELECT doc_id, words, tfs FROM dw_lists", lambda index, rows: scoring.asked_weights(index, rows, "w_stats", "word", "ask_weights"), ("w_stats", "ask_weights"))),
-            ("stem_top", scoring.top("doc_vec", "doc_stems", "query_vec", "query_stems", {"tfidf-stem": (1.0, 0.0), "w2v-tfidf": (0.0, 1.0), "hybrid": (0.2, 0.8)})),
-            ("word_top", scoring.top("mean_vec", "doc_words_asked", "ask_vec", "ask_weights", {"tfidf": (1.0, 0.0), "w2v-avg": (0.0, 1.0)}, key="word")),
-        ]
-        own += [
+            ("method_top", scoring.text_top(runs)),
             ("query_nnc", ranking.query_weights_sql("nnc")),
             ("ltc_stems", Made("SELECT doc_id, words, tfs FROM vsm_lists", lambda index, rows: scoring.asked_weights(index, rows, "vsm_term", "term", "query_nnc"), ("vsm_term", "query_nnc"), stored=False)),
             ("ltc_top", scoring.term_top("SELECT doc_id, terms, ws FROM ltc_stems", "query_nnc", {"ltc": "n"})),
@@ -109,23 +112,23 @@ def relations(d: Dialect) -> list[tuple[str, str]]:
         ]
         first = "SELECT run_id, item_id, doc_id, score, row_number() OVER (PARTITION BY run_id, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT * FROM ltc_top UNION ALL SELECT * FROM plain_top) AS t"
         schemes = f"SELECT run_id, item_id, doc_id, round(score, 6) AS score, rank FROM ({first}) AS r WHERE rank <= {k}"
-        ranked = f"SELECT run_id, item_id, doc_id, score, row_number() OVER (PARTITION BY run_id, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT * FROM stem_top UNION ALL SELECT * FROM word_top) AS t"
+        ranked = f"SELECT run_id, item_id, doc_id, score, row_number() OVER (PARTITION BY run_id, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM method_top AS t"
         methods = f"SELECT run_id, item_id, doc_id, round(score, 6) AS score, rank FROM ({ranked}) AS r WHERE rank <= {k}"
     return [
         *evaluation.relations(d),
         *(x for x in embedding.relations(d) if x[0] not in seen),
         *zipf_relations(d),
         ("word_weights", _word_weights("dw_tf", "doc_id")),
-        ("ask_weights", _word_weights("qw_tf", "item_id")),
+        ("ask_weights", _word_weights("qw_tf", "item_id", "w_asked" if d.name == "spark" else "w_stats")),
         *own,
         ("scheme_run", schemes),
         ("method_run", methods),
     ]
 
 
-def _word_weights(tf: str, key: str) -> str:
+def _word_weights(tf: str, key: str, stats: str = "w_stats") -> str:
     """ltc over the words that vectors are trained on, unstemmed."""
-    raw = f"SELECT t.{key}, t.word, (1e0 + ln(t.tf)) * ln(CAST(n.n AS DOUBLE) / s.df) AS w FROM {tf} t JOIN w_stats s ON s.word = t.word JOIN n_docs n ON 1 = 1 WHERE s.df < n.n"
+    raw = f"SELECT t.{key}, t.word, (1e0 + ln(t.tf)) * ln(CAST(n.n AS DOUBLE) / s.df) AS w FROM {tf} t JOIN {stats} s ON s.word = t.word JOIN n_docs n ON 1 = 1 WHERE s.df < n.n"
     return f"SELECT {key}, word, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM ({raw}) AS r"
 
 

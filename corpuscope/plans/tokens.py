@@ -210,11 +210,25 @@ def _dw_lists(ids: pa.Array, b: pa.RecordBatch) -> dict:
     return _lists(ids, bag.words, *bag.counts())
 
 
+def _heads(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Documents up to the end of their second line."""
+    text = pa.array([None if t is None else "\n".join(t.split("\n", 2)[:2]) for t in b["text"].to_pylist()], pa.string())
+    w, counted = b["w"], "nt" in b.schema.names
+    if w.null_count < len(b) and counted:
+        w = pa.array([None if x is None else x[: (nt or 0) + (na or 0)] for x, nt, na in zip(*(b[c].to_pylist() for c in ("w", "nt", "na")), strict=True)], w.type)
+    return pa.RecordBatch.from_arrays([text, w, *([b["nt"], b["na"]] if counted else [])], names=["text", "w", *(["nt", "na"] if counted else [])])
+
+
+def head_stems(b: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Stems, and document, stem and number of every pair, of title and abstract without stop words."""
+    stems, doc, term, _, _, title, abstract, _ = _by_stem(Bag(_heads(b)))
+    at = title + abstract > 0
+    return stems, doc[at], term[at], (title + abstract)[at]
+
+
 def _vsm_lists(ids: pa.Array, b: pa.RecordBatch) -> dict:
     """The stems of title and abstract."""
-    stems, doc, term, _, _, title, abstract, _ = _by_stem(Bag(b))
-    at = title + abstract > 0
-    return _lists(ids, stems, doc[at], term[at], (title + abstract)[at])
+    return _lists(ids, *head_stems(b))
 
 
 def _top_terms(ids: pa.Array, b: pa.RecordBatch) -> dict:
@@ -274,9 +288,8 @@ def _word_counts(b: pa.RecordBatch, name: str) -> tuple[list[str], list[np.ndarr
         v, one, k = title + abstract, np.ones(len(term)), len(stems)
         return stems, [*_summed(term, k, n, one, tf, tf > 0), _largest(term, k, tf), *_summed(term, k, v, v > 0), _largest(term, k, v)]
     if name == "vsm_parts":  # stems of title and abstract
-        stems, _, term, _, _, title, abstract, _ = _by_stem(Bag(b))
-        v = title + abstract
-        n, df = _summed(term, len(stems), v, v > 0)
+        stems, _, term, v = head_stems(b)
+        n, df = _summed(term, len(stems), v, np.ones(len(v)))
         at = np.flatnonzero(df)
         return [stems[i] for i in at], [n[at], df[at], _largest(term, len(stems), v)[at]]
     bag = trained(Bag(b, "vector")) if name == "w_parts" else Bag(b, "white", "wa") if name == "raw_parts" else Bag(b)

@@ -4,11 +4,13 @@ import uuid
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuscope import catalog
 from corpuscope.functions.porter import stem
 from corpuscope.operators import models, scoring
+from corpuscope.plans import tokens
 from corpuscope.plans.dialect import SPARK
 from corpuscope.plans.relations import Index, asked_only
 
@@ -120,3 +122,63 @@ def test_a_large_corpus_is_trained_by_shards(spark, tmp_path, monkeypatch):
         same = np.kron(np.eye(3), np.ones((12, 12))) - np.eye(36)
         sims = x @ x.T
         assert (sims * same).sum() / same.sum() > (sims * (1 - same - np.eye(36))).sum() / (1 - same - np.eye(36)).sum() + 0.3
+
+
+@pytest.mark.parametrize("name, runs", [("e11_methods_eval", 5), ("r21_methods", 5), ("e11_alpha_sweep", 11), ("r20_hybrid", 11)])
+def test_methods_score_texts_as_they_are_read(spark, index, name, runs):
+    """No list, vector or weight of a document is written, and a task gives back the first documents alone."""
+    assert run(index, name)
+    found = "method_top" if runs == 5 else "mixed_top"
+    assert found in index.views
+    assert not {"dw_lists", "vsm_lists", "doc_sums", "mean_sums", "doc_stems", "doc_words_asked", "doc_terms", "w_rank"} & set(index.views)
+    items, parts = spark.table(index.views["query_stems"]).select("item_id").distinct().count(), spark.table(index.views["documents"]).rdd.getNumPartitions()
+    rows = spark.table(index.views[found])
+    assert 0 < rows.count() <= parts * items * runs * (scoring.DEPTH + scoring.SPARE)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["r21_methods", "r20_hybrid", "e11_methods_eval", "e11_alpha_sweep"])
+def test_methods_of_several_blocks_equal_the_oracle(spark, monkeypatch, name):
+    for k, n in {"ITEMS": 7, "BLOCK": 37, "WORDS": 500, "HELD": 20000}.items():
+        monkeypatch.setattr(scoring, k, n)
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = c.execute(catalog.oracle_sql()[name])
+    at = [x[0] for x in want.description]
+    got = sorted(tuple(r[n] for n in at) for r in run(Index(spark, SF, uuid.uuid4().hex), name))
+    want = sorted(want.fetchall())
+    real = [k for k, x in enumerate(want[0]) if isinstance(x, float)]
+    rest = lambda rows: [tuple(x for k, x in enumerate(r) if k not in real) for r in rows]
+    assert rest(got) == rest(want)
+    for k in real:
+        assert [r[k] for r in got] == pytest.approx([r[k] for r in want], abs=2e-6)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    words = pa.array(["one", "", "two", "three", "längere-9"])
+    asked = pa.array(["two", "none", "längere-9", "", "three", "one"])
+    for change in (None, lambda w: np.array([len(x) % 2 for x in w.to_pylist()], dtype=np.uint64)):
+        if change:
+            monkeypatch.setattr(scoring, "_hashes", change)
+        assert scoring.Places(words).find(asked, scoring._hashes(asked)).tolist() == [2, -1, 4, 1, 3, 0]
+        assert scoring.Places(words[:0]).find(asked, scoring._hashes(asked)).tolist() == [-1] * 6
+
+
+def test_stems_of_title_and_abstract_need_no_more_than_two_lines():
+    texts = ["Running dogs\nran x\nrunning on", None, "", "\n", "\n\nbody here", "one line of words", "a\r\nmany bodies\n\nb"]
+    lists = [None] * len(texts) + [["tïtle", "words", "here", "longer", "body"], []]
+    b = pa.RecordBatch.from_pydict({"text": pa.array([*texts, None, None], pa.string()), "w": pa.array(lists, pa.list_(pa.string())), "nt": pa.array([None] * 7 + [1, 0], pa.int32()), "na": pa.array([None] * 7 + [2, 0], pa.int32())})
+    stems, doc, term, _, _, title, abstract, _ = tokens._by_stem(tokens.Bag(b))
+    want = sorted((d, stems[t], n) for d, t, n in zip(doc.tolist(), term.tolist(), (title + abstract).tolist()) if n)
+    stems, doc, term, n = tokens.head_stems(b)
+    assert want and sorted(zip(doc.tolist(), [stems[t] for t in term], n.tolist())) == want
+
+
+def test_the_model_ranks_the_words_that_have_vectors(spark, index):
+    _, relations = catalog._sql()["e11_methods_eval"]
+    got = {tuple(r) for r in index.query("SELECT word, df, cf, rank FROM model", relations(SPARK)).collect()}
+    assert index.query("SELECT * FROM w_first", relations(SPARK)).count() < index.query("SELECT * FROM w_stats", relations(SPARK)).count()
+    want = {tuple(r) for r in index.query("SELECT r.word, r.df, r.cf, r.rank FROM w_rank r JOIN embeddings e ON e.vec_id = r.rank - 1", relations(SPARK)).collect()}
+    assert got == want and got
