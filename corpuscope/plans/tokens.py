@@ -7,6 +7,9 @@ doc_sizes and top_terms; and by task, not by document, the counts of words (PART
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,7 +23,7 @@ from corpuscope.functions.porter import stem
 from corpuscope.functions.stopwords import STOP_WORDS
 
 #: Documents and bytes of text that are worked on at a time, stems that a worker keeps, words whose counts a task holds.
-ROWS, BYTES, KEPT, HELD = 256, 8 << 20, 1_000_000, 500_000
+ROWS, BYTES, KEPT, HELD = 256, 8 << 20, 300_000, 500_000
 SCHEMAS = {
     "tok": "pos bigint, field string, surface string, stem string, term string",
     "doc_terms": "term string, n_all bigint, tf bigint, tf_title bigint, tf_abstract bigint, first_pos bigint",
@@ -59,7 +62,7 @@ def cut_texts(documents: DataFrame) -> DataFrame:
             cut = [t is not None and (t.isascii() or OTHER.search(t) is None) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(cut, pa.bool_())], names=["doc_id", "text", "cut"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, text string, cut boolean")
+    return documents.select("doc_id", "text").mapInArrow(released(run), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, text string, cut boolean")
 
 
 def listed_sql(kinds: dict[str, str], more: str = "") -> str:
@@ -320,7 +323,7 @@ class Held:
         key, columns = PARTS[self.name]
         for i in range(0, len(words), 1 << 16):
             w = words[i : i + (1 << 16)]
-            own = [w, _stemmed(w), [x in stop for x in w]][: key.count(",") + 1]
+            own = [w, _stemmed(w), [x in stop for x in w]] if "stem" in key else [w]
             arrays = [pa.array(x, pa.bool_() if k == 2 else pa.string()) for k, x in enumerate(own)]
             arrays += [pa.array(c[i : i + len(w)]) for c in self.n]
             yield pa.RecordBatch.from_arrays(arrays, names=[*(k.split()[0] for k in key.split(", ")), *columns])
@@ -358,6 +361,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             i = z
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a mapInArrow, which at a task's end gives the worker's free memory back: workers are reused."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def made_of(listed: DataFrame, name: str, asked: Callable[[str], bool] | None = None) -> DataFrame:
     """The rows of a kind from documents (doc_id, text, w, and wa, nt, na where they count); tokens of stems asked for alone."""
     if name in PARTS:
@@ -371,7 +389,7 @@ def made_of(listed: DataFrame, name: str, asked: Callable[[str], bool] | None =
             yield from held.rows()
 
         key, columns = PARTS[name]
-        return listed.mapInArrow(counted, ", ".join([key, *(f"{c} bigint" for c in columns)]))
+        return listed.mapInArrow(released(counted), ", ".join([key, *(f"{c} bigint" for c in columns)]))
     make = MAKERS[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +397,7 @@ def made_of(listed: DataFrame, name: str, asked: Callable[[str], bool] | None =
             columns = make(b["doc_id"], b, asked) if asked else make(b["doc_id"], b)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
-    return listed.mapInArrow(run, f"doc_id {listed.schema['doc_id'].dataType.simpleString()}, {SCHEMAS[name]}")
+    return listed.mapInArrow(released(run), f"doc_id {listed.schema['doc_id'].dataType.simpleString()}, {SCHEMAS[name]}")
 
 
 def tokens(name: str, sql: str) -> tuple[str, Made]:
@@ -406,7 +424,7 @@ def words_there(index, listed: DataFrame, asked: str) -> DataFrame:
         there = sorted(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.string()), pa.array(_stemmed(there), pa.string())], names=["word", "stem"])
 
-    return listed.mapInArrow(run, "word string, stem string")
+    return listed.mapInArrow(released(run), "word string, stem string")
 
 
 def asked_for(stems: frozenset[str], prefixes: tuple[str, ...]) -> Callable[[str], bool]:

@@ -182,3 +182,13 @@ def test_the_model_ranks_the_words_that_have_vectors(spark, index):
     assert index.query("SELECT * FROM w_first", relations(SPARK)).count() < index.query("SELECT * FROM w_stats", relations(SPARK)).count()
     want = {tuple(r) for r in index.query("SELECT r.word, r.df, r.cf, r.rank FROM w_rank r JOIN embeddings e ON e.vec_id = r.rank - 1", relations(SPARK)).collect()}
     assert got == want and got
+
+
+def test_counts_of_words_alone_ask_for_no_stems(monkeypatch):
+    def never(words):
+        raise AssertionError(words)
+
+    held = tokens.Held("w_parts")
+    held.add(["a", "b"], [np.array([1, 2])] * 2)
+    monkeypatch.setattr(tokens, "_stemmed", never)
+    assert pa.Table.from_batches(held.rows()).to_pylist() == [{"word": "a", "cf": 1, "df": 1}, {"word": "b", "cf": 2, "df": 2}]
